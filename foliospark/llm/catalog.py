@@ -1,8 +1,8 @@
 """All queries of this subpackage and the SQL that some of them are compared with."""
 
-from foliospark.llm import p2_sample, p3_splits
+from foliospark.llm import p2_sample, p3_splits, p4_sentences, p5_forms
 
-_MODULES = (p2_sample, p3_splits)
+_MODULES = (p2_sample, p3_splits, p4_sentences, p5_forms)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
