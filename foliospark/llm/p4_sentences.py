@@ -42,7 +42,7 @@ CLOSERS = "\"'”’»)\\]）」』】›“‹"
 _ASK = re.compile(rf"(?:[!?…。।॥։؟]|\.(?!\d))+(?:[{CLOSERS}*_]|\s?»)*|\n")
 _ASK_OF = {
     "th": re.compile(r"(?<=[\u0e00-\u0e7fA-Za-z0-9%/³²)])[ \xa0]+(?=[\u0e00-\u0e7f])|" + _ASK.pattern),
-    "zh": re.compile(r"(?:[!?…。｡！？]|\.(?!\d))+[”’」』】）)\]\"']*|\n"),
+    "zh": re.compile(r"(?:[!?…。｡！？।]|\.(?!\d))+[”’」』】）)\]\"']*|\n"),
 }
 _ASK_OF["ja"] = _ASK_OF["zh"]
 _BEFORE, _AFTER = 20, 32  # characters that a rule may look at on each side
