@@ -39,7 +39,7 @@ def seed_categories(manifest: DataFrame) -> DataFrame:
 
 def availability(manifest: DataFrame, plan: DataFrame) -> DataFrame:
     """Every plan row with ``available`` (distinct seeds) and ``wanted`` (the larger of the minimum and the rounded share)."""
-    keyed = plan.withColumn("_k", category_key(F.col("category")))
+    keyed = plan.select("plan_id", "dimension", "category", "target_share", "min_rows", "sample_size").withColumn("_k", category_key(F.col("category")))
     # The plan is the small side: its size is given by its author, not by the corpus.
     n = seed_categories(manifest).groupBy("dimension", "key").agg(F.count(F.lit(1)).alias("available"))
     joined = keyed.join(n, (keyed["dimension"] == n["dimension"]) & (keyed["_k"] == n["key"]), "left").drop(n["dimension"])

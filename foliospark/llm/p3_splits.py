@@ -74,11 +74,12 @@ def deal(groups: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     to the split in whose part of the band's records its middle record falls, so every band keeps the
     shares up to one group. Shares are scaled to one; null or negative shares count as none.
     """
+    groups = groups.select("doc_id", "group_id")
     sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).withColumn("band", F.floor(F.log2("n")).cast("int")).withColumn("u", unit_key(F.col("group_id"), seed=seed))
     placed = running_totals(sizes, ["band"], "u", ["group_id"], F.col("n"), "before", slices=1024)
     totals = sizes.groupBy(F.col("band").alias("_band")).agg(F.sum("n").alias("total"))
     placed = placed.join(totals, F.col("band") == F.col("_band")).withColumn("at", (F.col("before") + F.col("n") / 2) / F.col("total"))
-    p = plan.where("share > 0").withColumn("hi", F.sum("share").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, 0)))
+    p = plan.select("split", "share").where("share > 0").withColumn("hi", F.sum("share").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, 0)))
     p = p.withColumn("all", F.sum("share").over(Window.partitionBy()))
     cuts = p.select(F.struct((F.col("hi") / F.col("all")).alias("hi"), F.col("split")).alias("c")).agg(F.sort_array(F.collect_list("c")).alias("cuts"))
     hit = F.expr("coalesce(try_element_at(filter(cuts, c -> c.hi > at), 1).split, try_element_at(cuts, -1).split)")

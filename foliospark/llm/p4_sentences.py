@@ -129,8 +129,8 @@ def cascade(lang: str) -> list[tuple[bool, re.Pattern, re.Pattern]]:
 _CASCADES: dict[str, list] = {}
 
 
-def sentence_ends(text: str | None) -> list[int]:
-    """For every sentence of ``text`` the number of characters up to and including its last visible one.
+def sentence_ends(text: str | None, first: int | None = None) -> list[int]:
+    """For every sentence of ``text``, or for its ``first`` ones, the number of characters up to and including its last visible one.
 
     Null, blank and texts without a letter or digit have none. The last sentence ends with the last
     visible character of the text. Very long texts are handled whole; rules look at most 32 characters
@@ -148,7 +148,7 @@ def sentence_ends(text: str | None) -> list[int]:
     begun = 0
     for m in _ASK_OF.get(lang, _ASK).finditer(plain):
         p = m.end()
-        if p >= last:
+        if p >= last or first is not None and len(ends) >= first:
             break
         before, after = plain[max(0, p - _BEFORE) : p], plain[p : p + _AFTER]
         for ends_here, b, a in rules:
@@ -159,17 +159,19 @@ def sentence_ends(text: str | None) -> list[int]:
                         ends.append(e)
                         begun = p
                 break
-    if re.search(r"[^\W_]", plain[begun:last]):
+    if first is not None and len(ends) >= first:
+        ends = ends[:first]
+    elif re.search(r"[^\W_]", plain[begun:last]):
         ends.append(last)
     elif ends:
         ends[-1] = last
     return [at[e - 1] + 1 for e in ends] if at else ends
 
 
-def split_sentences(text: str | None) -> list[str]:
-    """The sentences of ``text`` without blanks around them."""
+def split_sentences(text: str | None, first: int | None = None) -> list[str]:
+    """The sentences of ``text``, or its ``first`` ones, without blanks around them."""
     out, begun = [], 0
-    for e in sentence_ends(text):
+    for e in sentence_ends(text, first):
         out.append(text[begun:e].strip())
         begun = e
     return out
