@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import patterns as P
@@ -60,10 +60,15 @@ def inspect(seg: DataFrame) -> DataFrame:
         X.broken_glyphs(t).alias("broken"), like.alias("equation"), (like & ~X.is_equation_line(t)).alias("equation_words"), (F.size(F.coalesce("traces", F.create_map().cast("map<string,int>"))) > 0).alias("traced"),
     )
     bins = {"under_10": "n < 10", "from_10": "n BETWEEN 10 AND 29", "from_30": "n BETWEEN 30 AND 79", "from_80": "n BETWEEN 80 AND 199", "from_200": "n >= 200"}
-    # The upper median: with an even number of paragraphs the greater of the two in the middle.
-    median = F.expr("element_at(array_sort(collect_list(n)), cast(count(n) div 2 AS INT) + 1)")
+    # The upper median: with an even number of paragraphs the greater of the two in the middle. It is read off the counts
+    # of equal lengths, so the paragraphs of a long document are never gathered.
+    lengths = d.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("doc_id")
+    lengths = lengths.withColumns({"upto": F.sum("c").over(w.orderBy("n")), "every": F.sum("c").over(w)})
+    median = lengths.where("upto > every div 2").groupBy("doc_id").agg(F.min("n").alias("median_words"))
     flags = {"open_end": "open_end", "starting_small": "small", "starting_digit": "digit", "mostly_numbers": "numbers", "equation_like": "equation", "equation_with_words": "equation_words", "with_traces": "traced", "equation_broken": "equation AND broken > 0"}
-    return d.groupBy("doc_id").agg(*[F.count_if(F.expr(e)).alias(k) for k, e in bins.items()], median.alias("median_words"), F.sum("broken").alias("broken_glyphs"), *[F.count_if(F.expr(e)).alias(k) for k, e in flags.items()])
+    shape = d.groupBy("doc_id").agg(*[F.count_if(F.expr(e)).alias(k) for k, e in bins.items()], F.sum("broken").alias("broken_glyphs"), *[F.count_if(F.expr(e)).alias(k) for k, e in flags.items()])
+    return shape.join(median, "doc_id")
 
 
 def pages_without_body(seg: DataFrame, documents: DataFrame) -> DataFrame:

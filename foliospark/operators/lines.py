@@ -90,5 +90,6 @@ def drop_running(lines: DataFrame) -> DataFrame:
 def split_references(lines: DataFrame) -> DataFrame:
     """Adds ``part``: "body", "title" for the first heading of references in a document, "reference" behind it."""
     place = F.struct("page", "line")
-    first = F.min(F.when(F.col("text").rlike(P.REFERENCE_HEADING), place)).over(Window.partitionBy("doc_id"))
-    return lines.withColumn("_first", first).withColumn("part", F.when(F.col("_first").isNull() | (place < F.col("_first")), "body").when(place == F.col("_first"), "title").otherwise("reference")).drop("_first")
+    first = lines.where(F.col("text").rlike(P.REFERENCE_HEADING)).groupBy("doc_id").agg(F.min(place).alias("_first"))
+    part = F.when(F.col("_first").isNull() | (place < F.col("_first")), "body").when(place == F.col("_first"), "title").otherwise("reference")
+    return lines.join(first, "doc_id", "left").withColumn("part", part).drop("_first")

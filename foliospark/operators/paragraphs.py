@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import patterns as P
 from foliospark.functions import text as X
+from foliospark.operators import lines as lines_of
+from foliospark.session import cut_lineage
 
 BLOCK = ("doc_id", "page", "part")
 
@@ -60,7 +62,11 @@ def segments(lines: DataFrame) -> DataFrame:
     kind = F.when(F.col("part") == "reference", "reference").otherwise(paragraph_kind(F.col("text"), F.col("first") == F.col("last")))
     titles = lines.where("part = 'title'").select("doc_id", "page", "part", F.col("line").alias("first"), F.col("line").alias("last"), F.lit(0).alias("sub"), X.strip(F.col("text")).alias("text"), F.lit("heading").alias("kind"))
     every = paras.withColumn("kind", kind).unionByName(titles)
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "first", "sub")) - 1
+    # Pages are counted up first and rows ordered within a page, so a very long document is no hot task.
+    sizes = every.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = every.join(sizes.select("doc_id", "page", before.alias("_before")), ["doc_id", "page"])
+    order = (F.col("_before") + F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("first", "sub")) - 1).cast("int")
     loc = F.concat(F.lit("p"), "page", F.lit(":L"), "first", F.lit("-"), "last")
     return every.select("doc_id", order.alias("seg_order"), "kind", "text", "page", "first", "last", loc.alias("loc"), (F.col("part") == "title").alias("untraced"))
 
@@ -87,12 +93,18 @@ def source_text(seg: DataFrame, raw: DataFrame) -> DataFrame:
 
 def mark_back_matter(seg: DataFrame) -> DataFrame:
     """Body behind a heading or label of back matter becomes ``back_matter``, up to the next other heading or the references."""
-    w = Window.partitionBy("doc_id").orderBy("seg_order").rowsBetween(Window.unboundedPreceding, 0)
     text, kind = F.col("text"), F.col("kind")
     opens = ((kind == "heading") & X.is_back_heading(text)) | ((kind == "body") & text.rlike(P.BACK_LABEL))
-    state = F.last(F.when(opens, True).when(kind == "heading", False), ignorenulls=True).over(w)
-    over = F.max(F.when(kind == "reference", 1).otherwise(0)).over(w) == 1
-    return seg.withColumn("kind", F.when((kind == "body") & ~over & F.coalesce(state, F.lit(False)), "back_matter").otherwise(kind))
+    d = seg.withColumns({"_p": F.coalesce("page", F.lit(0)), "_switch": F.when(opens, True).when(kind == "heading", False)})
+    # The state at the end of each page is carried over pages; only rows of one page are sorted together.
+    pages = d.groupBy("doc_id", "_p").agg(F.max_by(F.col("_switch"), F.when(F.col("_switch").isNotNull(), F.col("seg_order"))).alias("_last"))
+    carried = F.last("_last", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    pages = pages.select("doc_id", "_p", carried.alias("_carried"))
+    ends = seg.where("kind = 'reference'").groupBy("doc_id").agg(F.min("seg_order").alias("_end"))
+    within = F.last("_switch", ignorenulls=True).over(Window.partitionBy("doc_id", "_p").orderBy("seg_order").rowsBetween(Window.unboundedPreceding, 0))
+    d = d.join(pages, ["doc_id", "_p"]).join(ends, "doc_id", "left").withColumn("_state", F.coalesce(within, F.col("_carried"), F.lit(False)))
+    back = (kind == "body") & F.col("_state") & F.coalesce(F.col("seg_order") < F.col("_end"), F.lit(True))
+    return d.withColumn("kind", F.when(back, "back_matter").otherwise(kind)).select(*seg.columns)
 
 
 def mark_front_matter(seg: DataFrame) -> DataFrame:
@@ -100,7 +112,19 @@ def mark_front_matter(seg: DataFrame) -> DataFrame:
     sentence: twelve words, 15 % of them stopwords, and a finite verb."""
     text, kind = F.col("text"), F.col("kind")
     marker = (F.coalesce("page", F.lit(0)) <= 3) & (((kind == "heading") & X.is_named_heading(text)) | ((kind == "body") & text.rlike(P.ABSTRACT_LABEL)))
-    first = F.min(F.when(marker, F.col("seg_order"))).over(Window.partitionBy("doc_id"))
+    first = seg.where(marker).groupBy("doc_id").agg(F.min("seg_order").alias("_first"))
     n = X.word_count(text)
     sentence = (n >= 12) & (X.count(text, P.STOP_TOKEN) >= 0.15 * n) & text.rlike(P.FINITE_VERB)
-    return seg.withColumn("_first", first).withColumn("kind", F.when((kind == "body") & (F.col("seg_order") < F.col("_first")) & ~sentence, "front_matter").otherwise(kind)).drop("_first")
+    front = (kind == "body") & F.coalesce(F.col("seg_order") < F.col("_first"), F.lit(False)) & ~sentence
+    return seg.join(first, "doc_id", "left").withColumn("kind", F.when(front, "front_matter").otherwise(kind)).select(*seg.columns)
+
+
+def read_pages(pages: DataFrame, normalise: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(segments, lines) of pages (doc_id, page, text) with front and back matter marked.
+
+    Several steps look at all lines and at all segments, so each is written once to the shared
+    checkpoint folder instead of being computed again for every look.
+    """
+    marked = cut_lineage(lines_of.mark_edges(lines_of.strip_line_numbers(lines_of.split_pages(pages, normalise))))
+    seg = cut_lineage(segments(lines_of.split_references(cut_lineage(lines_of.drop_running(marked)))))
+    return mark_front_matter(cut_lineage(mark_back_matter(seg))), marked

@@ -17,6 +17,7 @@ from foliospark.operators import manifest as M
 from foliospark.operators import paragraphs as G
 from foliospark.operators import sampling as S
 from foliospark.operators import variants as V
+from foliospark.session import cut_lineage
 from foliospark.sources import files, jats
 from foliospark.sources.tables import table
 
@@ -44,17 +45,13 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", (F.coalesce("i", F.lit(0)) + 1).alias("page"), "text")
 
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return N.mark_edges(N.strip_line_numbers(N.split_pages(_pages(spark, d))))
-
-
 def _plain_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines without NFKC, as SQL can't normalise."""
-    return N.mark_edges(N.strip_line_numbers(N.split_pages(_pages(spark, d), normalise=False)))
+    return cut_lineage(N.mark_edges(N.strip_line_numbers(N.split_pages(_pages(spark, d), normalise=False))))
 
 
-def _read_segments(spark: SparkSession, d: str) -> DataFrame:
-    return G.segments(N.split_references(N.drop_running(_lines(spark, d))))
+def _read_segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return G.read_pages(_pages(spark, d))
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
@@ -305,27 +302,23 @@ def structural_paragraphs(spark, d):
 
 @query()
 def page_segments(spark, d):
-    return G.mark_front_matter(G.mark_back_matter(_read_segments(spark, d))).select("doc_id", "seg_order", "kind", "text", "page", "loc")
+    return _read_segments(spark, d)[0].select("doc_id", "seg_order", "kind", "text", "page", "loc")
 
 
 @query()
 def page_segment_traces(spark, d):
-    lines = _lines(spark, d)
-    seg = G.segments(N.split_references(N.drop_running(lines)))
+    seg, lines = _read_segments(spark, d)
     return G.with_traces(seg, lines).select("doc_id", "seg_order", "kind", F.to_json("traces").alias("traces"))
 
 
 @query()
 def page_source_text(spark, d):
-    lines = _lines(spark, d)
-    return G.source_text(G.segments(N.split_references(N.drop_running(lines))), lines)
+    return G.source_text(*_read_segments(spark, d))
 
 
 @query()
 def page_document_status(spark, d):
-    pages = _pages(spark, d)
-    seg = G.mark_front_matter(G.mark_back_matter(_read_segments(spark, d)))
-    return A.assess(seg, N.failed_pages(pages))
+    return A.assess(_read_segments(spark, d)[0], N.failed_pages(_pages(spark, d)))
 
 
 @query("SELECT DISTINCT doc_id, CAST(seg_order AS INT) AS seg_order, CAST(regexp_extract(loc, '^p(\\d+):L(\\d+)-(\\d+)$', 1) AS INT) AS page, CAST(regexp_extract(loc, '^p(\\d+):L(\\d+)-(\\d+)$', 2) AS INT) AS first, CAST(regexp_extract(loc, '^p(\\d+):L(\\d+)-(\\d+)$', 3) AS INT) AS last FROM segments WHERE regexp_matches(loc, '^p(\\d+):L(\\d+)-(\\d+)$')")
