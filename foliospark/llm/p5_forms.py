@@ -91,10 +91,12 @@ def look_alikes(segments: DataFrame) -> DataFrame:
     """
     f = cut_lineage(forms(segments))
     several = f.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    members = f.join(several, "form")
-    a = members.select("form", F.col("id").alias("a"), F.col("raw").alias("ra"))
-    b = members.select("form", F.col("id").alias("b"), F.col("raw").alias("rb"))
-    pairs = a.join(b, "form").where("ra <> rb AND a < b")
+    # Spellings are paired before their members: equal texts, however many, never meet each other.
+    spellings = f.join(several, "form").select("form", "raw").distinct()
+    unlike = spellings.select("form", F.col("raw").alias("ra")).join(spellings.select("form", F.col("raw").alias("rb")), "form").where("ra < rb").drop("form")
+    a = f.select(F.col("raw").alias("ra"), F.col("id").alias("a"))
+    b = f.select(F.col("raw").alias("rb"), F.col("id").alias("b"))
+    pairs = unlike.join(a, "ra").join(b, "rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.select(F.col("a.doc_id").alias("doc_id_a"), F.col("a.seg_order").alias("seg_order_a"), F.col("b.doc_id").alias("doc_id_b"), F.col("b.seg_order").alias("seg_order_b"))
 
 
