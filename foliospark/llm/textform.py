@@ -53,6 +53,25 @@ class Fold(dict):
 
 
 FOLD = Fold()
+_DROPPED = re.compile(f"{_INVISIBLE.pattern}|[\u0300-\u036f\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\xad]")
+
+
+class One(dict):
+    """For str.translate: single characters to single characters, look-alike letters to Latin ones on request."""
+
+    def __init__(self, latin: bool):
+        super().__init__()
+        self.latin = latin
+
+    def __missing__(self, cp: int) -> str:
+        ch = chr(cp)
+        to = FOLD[cp]
+        to = to if to is not None and len(to) == 1 else ch
+        self[cp] = to = TO_LATIN.get(to, to) if self.latin else to
+        return to
+
+
+ONE, ONE_LATIN = One(False), One(True)
 _ODD = re.compile("[^\x20-\x7e\n²³¹⁰-₎µ°à-öø-ÿŐ-ſ]")
 _TOKEN = re.compile(r"(?:(?![⁰-₟²³¹¼-¾ªº])[^\W\d_][̀-ͯ]*)+")
 
@@ -141,8 +160,10 @@ def skeleton(text: str) -> tuple[str, list[int]]:
     in ``text``. Invisible characters are left out; all others stand for one character each."""
     if text.isascii():
         return text, []
+    mixed = bool(_SUSPECT.search(text)) and len(_ONLY_CYRILLIC.findall(text)) < 3 and any(len({script(c) for c in t} & set("LCG")) > 1 for t in _TOKEN.findall(text))
+    if not _DROPPED.search(text):
+        return text.translate(ONE_LATIN if mixed else ONE), []
     out, at = [], []
-    mixed = len(_ONLY_CYRILLIC.findall(text)) < 3 and any(len({script(c) for c in t} & set("LCG")) > 1 for t in _TOKEN.findall(text)) if _SUSPECT.search(text) else False
     for i, ch in enumerate(text):
         to = FOLD[ord(ch)]
         if to is None or unicodedata.category(ch) == "Mn" and ord(ch) < 0x370:
