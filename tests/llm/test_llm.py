@@ -213,6 +213,17 @@ def test_field_on_held_out_pages():
     assert right / total > 0.98
 
 
+def test_filter_passes_all_that_the_field_calls_markup():
+    import re
+
+    field, passes = p6_markup.trained(), re.compile(p6_markup.SUSPECT)
+    rng = random.Random(12)
+    for kind, snippets in p6_markup._MARKED.items():
+        for snippet in snippets:
+            text = "some words " + snippet.replace("{{", "{").replace("}}", "}").replace("{w}", rng.choice("abc") + "lpha").replace("{n}", "7").replace("{m}", "3") + " more words"
+            assert not p6_markup.notations(text, field) or passes.search(text), (kind, text)
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
