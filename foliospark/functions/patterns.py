@@ -52,6 +52,8 @@ MIN_WORDS, MIN_STOP, MAX_FOREIGN, MAX_NON_LATIN = 300, 0.04, 0.05, 0.3
 TARGET_PARAGRAPHS, TARGET_WORDS = 3, 60
 # --------------------------------------------------------------------------------------------------
 
+# Building blocks of the patterns. The patterns themselves, below, are fixed values too: what they match is the result.
+
 #: All white space of Unicode, as a class body.
 SPACE = r"\s\x1c-\x1f\x85   -     　"
 #: The same characters one by one.
@@ -66,6 +68,7 @@ def whole_word(words: list[str]) -> str:
     return rf"(?iu)(?<![{LETTER}])(?:{'|'.join(words)})(?![{LETTER}])"
 
 
+# Patterns ---------------------------------------------------------------------------
 STOP_TOKEN, FOREIGN_TOKEN = whole_word(STOPWORDS), whole_word(FOREIGN_WORDS)
 #: A letter token that holds a character beyond ASCII.
 NON_ASCII_TOKEN = rf"[A-Za-z]*+[{LETTER}&&[^\x00-\x7f]][{LETTER}]*"

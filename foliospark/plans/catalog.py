@@ -125,6 +125,7 @@ def document_status(spark, d):
     return _gate(spark, d).drop("lang")
 
 
+# The patterns of notation traces, for RE2.
 _TRACE_SQL = {k: v for k, v in (("unicode_subsup", "[⁰-₟²³¹]"), ("latex", r"\$[^$\n]{0,60}?[_^][^$\n]{0,60}?\$|\\[(\[]|[_^]\{[^}\n]{1,20}\}|\\(?:mathrm|text|frac|cdot|times)\b"), ("markup", r"</?su[bp]>|~\d{1,3}~|\^\d{1,3}\^"))}
 _ONE_SEGMENT = "seg AS (SELECT doc_id, seg_order, max(struct_pack(kind := kind, text := text, section := section, page := page, loc := loc)) AS m FROM segments GROUP BY 1, 2)"
 
