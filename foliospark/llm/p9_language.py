@@ -26,19 +26,9 @@ SEED = 20260109
 #: Letters and confidence that a stretch needs for a language of its own; whole sentences in a row that make a text mixed.
 LEAST_LETTERS, LEAST_SURE, LEAST_SENTENCES = 12, 0.06, 2
 
-_ROUGH = re.compile(r"[.!?]\s+(?=[^\Wa-z])|\n+|[。！？।]")
-_THAI = re.compile(r"[฀-๿]")
 _TURN = re.compile(r"(?<=[฀-๿])\s+(?=[A-Z][a-z]+ [a-z]+)|(?<=[a-z.]) (?=[฀-๿]{4})")  # between Thai and Latin sentences
 
 
-def rough_units(text: str) -> list[str]:
-    """About the sentences of ``text``, found cheaply."""
-    marks = [m.end() for m in _ROUGH.finditer(text)]
-    if _THAI.search(text):
-        marks = sorted(marks + [m.start() for m in _TURN.finditer(text)])
-    return [text[a:b] for a, b in zip([0, *marks], [*marks, len(text)]) if b > a]
-
-
 def sample(documents: DataFrame, per_language: int = SAMPLE, seed: int = SEED) -> list[tuple[str, str]]:
     """(language, text) of at most about ``per_language`` random documents per label that names a language.
 
@@ -65,17 +55,19 @@ class Languages:
     def __init__(self, model: langmodel.Model):
         self.of = model.classifier()
 
-    def _parts(self, text: str) -> list[tuple[int, int, int, int, float, float]]:
-        """(start, end, sentences, language, letters, confidence) of the stretches of one language, by whole sentences."""
-        ends = sentence_ends(text)
+    def _bounds(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of the sentences, cut where Thai and Latin ones meet."""
         bounds = []
         begun = 0
-        for e in ends:
+        for e in sentence_ends(text):
             cuts = [m.start() + begun for m in _TURN.finditer(text[begun:e])]
             for c in [*cuts, e]:
                 bounds.append((begun, c))
                 begun = c
-        lang, conf, letters, _ = self.of.per_text([text[a:b] for a, b in bounds])
+        return bounds
+
+    def _parts(self, bounds: list[tuple[int, int]], lang: np.ndarray, conf: np.ndarray, letters: np.ndarray) -> list[tuple[int, int, int, int, float, float]]:
+        """(start, end, sentences, language, letters, confidence) of the stretches of one language, by whole sentences."""
         out: list[list] = []
         for (a, b), k, c, n in zip(bounds, lang.tolist(), conf.tolist(), letters.tolist()):
             if n < LEAST_LETTERS or k < 0 or c < LEAST_SURE:
@@ -92,27 +84,26 @@ class Languages:
         return [tuple(p) for p in out if p[3] is not None]
 
     def of_batch(self, texts: list[str]) -> list[list[tuple[int, int, int, int, float, float]]]:
-        """The parts of every text: one for a text of one language."""
-        units = [rough_units(t) for t in texts]
-        lang, conf, letters, _ = self.of.per_text([u for us in units for u in us])
+        """The parts of every text: one for a text of one language. Every text is cut into whole sentences."""
+        bounds = [self._bounds(t) for t in texts]
+        lang, conf, letters, _ = self.of.per_text([t[a:b] for t, bs in zip(texts, bounds) for a, b in bs])
         out = []
         at = 0
-        for t, us in zip(texts, units):
-            ks, ns, cs = lang[at : at + len(us)], letters[at : at + len(us)], conf[at : at + len(us)]
-            at += len(us)
+        for t, bs in zip(texts, bounds):
+            ks, ns, cs = lang[at : at + len(bs)], letters[at : at + len(bs)], conf[at : at + len(bs)]
+            at += len(bs)
             known = ks >= 0
-            total = float(ns[known].sum()) if len(us) else 0.0
+            total = float(ns[known].sum())
             if not total:
                 out.append([])
                 continue
-            by = np.bincount(ks[known], ns[known], len(langmodel.LANGUAGES))
-            main = int(np.argmax(by))
-            # Any longer stretch that isn't in the main language asks for whole sentences.
-            if ((ks != main) & known & (ns >= 2 * LEAST_LETTERS) & (cs >= LEAST_SURE)).any():
-                out.append(self._parts(t))
-            else:
+            parts = self._parts(bs, ks, cs, ns)
+            if len({p[3] for p in parts}) > 1:
+                out.append(parts)
+            else:  # a text without any sure sentence is of the language of most letters
+                main = parts[0][3] if parts else int(np.argmax(np.bincount(ks[known], ns[known], len(langmodel.LANGUAGES))))
                 mine = known & (ks == main)
-                out.append([(0, len(t), len(us), main, total, float((cs[mine] * ns[mine]).sum() / total))])
+                out.append([(0, len(t), len(bs), main, total, float((cs[mine] * ns[mine]).sum() / total))])
         return out
 
 

@@ -322,6 +322,15 @@ def test_label_problems(spark):
     assert p9_language.label_problems(d.limit(0)).count() == 0
 
 
+def test_short_sentences_of_another_language_in_a_row(spark):
+    zh = "在蒸发器中测得的选择性很高，见图四。这一数值偏低，主要取决于膜的状态。"  # each has fewer than 24 letters
+    en = "The samples were measured in the column at high temperature. The results show that the yield depends on the flow. This was expected from older work."
+    d = spark.createDataFrame([(1, f"{en}\n\n{zh}\n\n{en}", "en"), (2, en, "en")], "doc_id long, text string, lang string")
+    assert {tuple(r)[:3] for r in p9_language.label_problems(d, langmodel.fit([])).collect()} == {(1, "mixed", "en"), (1, "mixed", "zh")}
+    parts = [(r["doc_id"], r["part_no"], r["lang"]) for r in p9_language.language_parts(d, langmodel.fit([])).orderBy("doc_id", "part_no").collect()]
+    assert parts == [(1, 1, "en"), (1, 2, "zh"), (1, 3, "en"), (2, 1, "en")]
+
+
 def test_held_out_accuracy(spark):
     import pyarrow.parquet as pq
 
