@@ -178,7 +178,7 @@ def pairs(tasks: DataFrame, outputs: DataFrame) -> DataFrame:
     return j.select("variant_id", "seed_id", "act", (F.col("n") + 1).alias("step_no"), prompt.alias("prompt"), F.get("answers", F.col("n")).alias("answer"))
 
 
-_CHECKED = "variant_id string, seed_id string, step_no int, defect string, opening array<string>, declines boolean, content int"
+_CHECKED = "variant_id string, seed_id string, step_no int, defect string, sentences array<string>, declining array<string>, polite array<string>, content int"
 
 
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,15 +188,16 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for v, s, act, n, prompt, a, w in zip(b["variant_id"], b["seed_id"], b["act"], b["step_no"], b["prompt"], answers, wrong):
             if is_empty(a):
-                rows.append((v, s, n, "empty", [], False, 0))
+                rows.append((v, s, n, "empty", [], [], [], 0))
                 continue
             defect = "copied" if is_copy(act, prompt, a) else "wrong_language" if w else "truncated" if is_truncated(a) else None
-            # A refusal outranks these. Only sentences at the opening are looked at, however long the answer is.
-            said = split_sentences(a, OPENING_SENTENCES + 5)
-            first = [x for x in (" ".join(words(y)) for y in said) if x]
-            declines = any(_DECLINE.search(textform.fold(x).lower().replace("’", "'")) for x in said[:OPENING_SENTENCES])
-            rows.append((v, s, n, defect, first, declines, len(words(a))))
-        yield pd.DataFrame(rows, columns=["variant_id", "seed_id", "step_no", "defect", "opening", "declines", "content"])
+            # A refusal outranks these.
+            said = [(x, y) for y in split_sentences(a) if (x := " ".join(words(y)))]
+            first = said[:OPENING_SENTENCES]
+            declining = [x for x, y in first if _DECLINE.search(textform.fold(y).lower().replace("’", "'"))]
+            polite = [x for x, y in first if _OPENER.match(y) or _OPENER_LINE.match(y + " ")]
+            rows.append((v, s, n, defect, [x for x, _ in said], declining, polite, len(words(a))))
+        yield pd.DataFrame(rows, columns=["variant_id", "seed_id", "step_no", "defect", "sentences", "declining", "polite", "content"])
 
 
 def shingles(text: str) -> set[str]:
@@ -236,28 +237,52 @@ def clusters(texts: DataFrame) -> DataFrame:
     return one.join(comp, F.col("text") == F.col("node"), "left").select("text", F.coalesce("component", "text").alias("cluster"))
 
 
-def templates(checked: DataFrame) -> DataFrame:
-    """(text): opening sentences whose cluster recurs in answers to prompts of several seeds."""
-    units = checked.where("declines").select("seed_id", F.explode("opening").alias("text"))
+def recurring(units: DataFrame) -> DataFrame:
+    """(text, cluster): sentences whose cluster recurs in answers to prompts of several seeds, of ``units`` (seed_id, text)."""
     known = clusters(units.select("text"))
-    recurring = units.join(known, "text").groupBy("cluster").agg(F.count_distinct("seed_id").alias("seeds")).where(F.col("seeds") >= RECUR_SEEDS)
-    return known.join(recurring, "cluster").select("text").distinct()
+    often = units.join(known, "text").groupBy("cluster").agg(F.count_distinct("seed_id").alias("seeds")).where(F.col("seeds") >= RECUR_SEEDS)
+    return known.join(often, "cluster").select("text", "cluster")
+
+
+def templates(checked: DataFrame) -> DataFrame:
+    """(text, cluster, declines, polite): opening sentences of any answers that recur, and whether a sentence of their cluster has
+    a wording that declines, or that of a remark before an answer."""
+    t = recurring(checked.select("seed_id", F.explode(F.slice("sentences", 1, OPENING_SENTENCES)).alias("text")))
+    said = [checked.select(F.explode(k).alias("text")).distinct().withColumn(k, F.lit(True)) for k in ("declining", "polite")]
+    kinds = t.join(said[0], "text", "left").join(said[1], "text", "left").groupBy("cluster").agg(F.coalesce(F.max("declining"), F.lit(False)).alias("declines"), F.coalesce(F.max("polite"), F.lit(False)).alias("polite"))
+    return t.join(kinds, "cluster").select("text", "cluster", "declines", "polite")
+
+
+def refusals(checked: DataFrame) -> DataFrame:
+    """(variant_id, step_no) of the answers that open with a template of refusals and hold next to nothing besides templates.
+
+    A template is one of refusals if a wording of its cluster declines, or, whatever its wording, if it
+    isn't polite and most answers that open with it are cut short or in another language, and hold nothing else. An answer that
+    declines in a wording of its own may open with any template. Template words count in all sentences.
+    """
+    key = ["variant_id", "step_no"]
+    t = cut_lineage(templates(checked))
+    opens = cut_lineage(checked.select(*key, F.explode(F.array_distinct(F.slice("sentences", 1, OPENING_SENTENCES))).alias("text")).join(t, "text").groupBy(*key, "cluster").agg(F.max("declines").alias("declines"), F.max("polite").alias("polite")))
+    by = opens.groupBy(*key).agg(F.max("declines").alias("by_wording"), F.max(~F.col("polite")).alias("by_use"))
+    asked = checked.join(by, key, "left").where("size(declining) > 0 OR by_wording OR (by_use AND defect IN ('wrong_language', 'truncated'))")
+    units = cut_lineage(asked.select(*key, "seed_id", "content", (F.size("declining") > 0).alias("own"), F.posexplode("sentences").alias("i", "text")))
+    known = t.select("text").union(recurring(units.select("seed_id", "text")).select("text")).distinct().withColumn("known", F.lit(True))
+    said = F.sum(F.when(F.col("known"), F.size(F.split("text", " "))).otherwise(0))
+    hit = units.join(known, "text", "left").groupBy(*key).agg(F.first("own").alias("own"), F.max(F.when(F.col("known") & (F.col("i") < OPENING_SENTENCES), True)).alias("template"), (F.first("content") - said < CONTENT_WORDS).alias("bare"))
+    bare = cut_lineage(hit.where("bare AND template"))
+    use = opens.join(bare.select(*key, "bare"), key, "left").groupBy("cluster").agg((F.avg(F.when(F.col("bare"), 1).otherwise(0)) > 0.5).alias("mostly_bare"))
+    refusing = opens.join(use, "cluster").where("declines OR (mostly_bare AND NOT polite)").select(*key).distinct()
+    return bare.where("own").select(*key).union(bare.join(refusing, key, "left_semi").select(*key)).distinct()
 
 
 def defects(tasks: DataFrame, outputs: DataFrame) -> DataFrame:
     """(variant_id, step_no, defect) of the defective pairs; see the checks for what each defect is.
 
-    The first that fits of empty, refusal, copied, wrong_language, truncated is given. Only openings of
-    answers that decline something are clustered; texts themselves are shuffled once, for the join.
+    The first that fits of empty, refusal, copied, wrong_language, truncated is given. The openings of all
+    answers are clustered, and all sentences of those that may be refusals.
     """
     checked = cut_lineage(pairs(tasks, outputs).mapInPandas(_check, _CHECKED))
-    t = templates(checked).withColumn("known", F.lit(True))
-    units = checked.where("declines").select("variant_id", "step_no", "content", F.posexplode("opening").alias("i", "text"))
-    size = F.size(F.split("text", " "))
-    hit = units.join(t, "text", "left").groupBy("variant_id", "step_no").agg(
-        F.first("content").alias("content"), F.sum(F.when(F.col("known"), size).otherwise(0)).alias("said"), F.max(F.when(F.col("known") & (F.col("i") < OPENING_SENTENCES), 1)).alias("opens")
-    )
-    refused = hit.where((F.col("opens") == 1) & (F.col("content") - F.col("said") < CONTENT_WORDS)).select("variant_id", "step_no", F.lit("refusal").alias("refused"))
+    refused = refusals(checked).withColumn("refused", F.lit("refusal"))
     label: Column = F.when(F.col("defect") == "empty", F.col("defect")).otherwise(F.coalesce("refused", "defect"))
     return checked.join(refused, ["variant_id", "step_no"], "left").select("variant_id", "step_no", label.alias("defect")).where("defect IS NOT NULL")
 

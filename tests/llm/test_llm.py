@@ -39,6 +39,17 @@ def test_defects(spark):
     assert got == want
 
 
+def test_refusals_in_other_wordings_and_of_many_sentences(spark):
+    ask = "Reword this text. Answer with three paragraphs.\n\n" + WHOLE.format(1)
+    other = "Such a thing lies outside of what may be offered here today."  # no wording of the list
+    assert not p1_pairs._DECLINE.search(other.lower())
+    ten = "I'm sorry, but I can't help with that request. " + " ".join(f"Please ask the {w} office of your institute for further advice on it." for w in "first second third fourth fifth sixth seventh eighth ninth tenth".split())
+    fine = WHOLE.format(2).replace("flow", "stream").replace("Heat", "Some heat").replace("model", "simple model") + " All of this was to be expected from older work on other cells."
+    rows = [(f"o{i}", f"s{i}", "rewriting", [ask], [other]) for i in range(3)] + [(f"t{i}", f"s{i}", "rewriting", [ask], [ten]) for i in range(3)]
+    rows += [(f"p{i}", f"s{i}", "rewriting", [ask], [f"Here is the revised text you asked for:\n\n{fine if i else fine[:-25]}"]) for i in range(3)]
+    assert pairs(spark, rows) == {**{(f"{k}{i}", 1): "refusal" for k in "ot" for i in range(3)}, ("p0", 1): "truncated"}
+
+
 def test_latest_output_counts_and_empty_tables(spark):
     ask = "Reword.\n\n" + WHOLE
     tasks = spark.createDataFrame([("v", "s", "rewriting", [ask], "", "")] * 2, TASKS)
