@@ -221,8 +221,9 @@ def clusters(texts: DataFrame) -> DataFrame:
     """(text, cluster): the connected classes of distinct texts that share 0.8 of their five-word shingles.
 
     Candidates share a band; in a band every text is verified against the band's smallest text and its
-    neighbour in order, so links grow with the texts, not with their pairs. A text without a link is a
-    class of its own. Null texts are left out.
+    neighbour in order, so links grow with the texts, not with their pairs. Where a band still holds
+    several classes, all pairs between these are verified. A text without a link is a class of its own.
+    Null texts are left out.
     """
     import pyspark.sql.types as T
 
@@ -233,7 +234,13 @@ def clusters(texts: DataFrame) -> DataFrame:
     near = banded.select("text", F.first("text").over(w).alias("least"), F.lag("text").over(w).alias("before"))
     links = near.where("text <> least").select(F.col("text").alias("a"), F.explode(F.array_distinct(F.array("least", F.coalesce("before", "least")))).alias("b")).distinct()
     alike = F.udf(lambda a, b: len((x := shingles(a)) & (y := shingles(b))) >= SIMILAR * len(x | y), T.BooleanType(), useArrow=True)
-    comp = components(links.where("a <> b").where(alike("a", "b")))
+    links = cut_lineage(links.where("a <> b").where(alike("a", "b")))
+    owned = banded.join(components(links), F.col("text") == F.col("node"), "left").select("band", "text", F.coalesce("component", "text").alias("class"))
+    mixed = owned.groupBy("band").agg(F.count_distinct("class").alias("classes")).where("classes > 1").select("band")
+    rest = cut_lineage(owned.join(mixed, "band"))
+    other = rest.select("band", F.col("text").alias("b"), F.col("class").alias("of_b"))
+    across = rest.withColumnRenamed("text", "a").join(other, "band").where("class < of_b").select("a", "b").distinct()
+    comp = components(links.unionByName(across.where(alike("a", "b"))))
     return one.join(comp, F.col("text") == F.col("node"), "left").select("text", F.coalesce("component", "text").alias("cluster"))
 
 

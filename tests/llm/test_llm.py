@@ -72,6 +72,13 @@ def test_clusters_against_brute_force(spark):
                 assert got[a] == got[b]
 
 
+def test_clusters_of_a_band_that_mixes_groups(spark, monkeypatch):
+    monkeypatch.setattr(p1_pairs, "signature", lambda text: [b"one band"])
+    texts = [f"{'abcdef'[i]} " + " ".join(f"{'xyz'[i % 3]}{j}" for j in range(40)) for i in range(6)]
+    got = {r["text"]: r["cluster"] for r in p1_pairs.clusters(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert [got[t] for t in texts] == texts[:3] * 2
+
+
 # ---------------------------------------------------------------- p2
 
 MANIFEST = "doc_id string, bundle_id string, role string, journal string, pub_year int, subfields array<string>, key string, available string"
