@@ -55,6 +55,7 @@ class SuffixAutomaton:
     def __init__(self, items: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.items = [-1], [0], [set()]
+        self.short: dict[int, dict[int, int]] = {}  # the suffix state of just so many words, as far as asked for
         for n, words in enumerate(items):
             last = 0
             for w in words:
@@ -115,6 +116,28 @@ class SuffixAutomaton:
             out.append((len(words), n, self.items[state]))
         return out
 
+    def holders(self, words: list[int], least: int) -> Iterator[tuple[int, set[int]]]:
+        """(end, items) at every position: all items that hold the last ``least`` words, not only those of the longest match."""
+        state, n = 0, 0
+        nxt, link, length, short = self.next, self.link, self.length, self.short.setdefault(least, {})
+        for i, w in enumerate(words):
+            while state and w not in nxt[state]:
+                state = link[state]
+                n = length[state]
+            to = nxt[state].get(w)
+            if to is None:
+                n = 0
+                continue
+            state, n = to, n + 1
+            if n >= least:
+                s = short.get(state)
+                if s is None:
+                    s = state
+                    while length[link[s]] >= least:
+                        s = link[s]
+                    short[state] = s
+                yield i + 1, self.items[s]
+
 
 def passages(doc: list[int], item: list[int], least: int = LEAST_WORDS, odd: int = ODD_WORDS) -> list[tuple[int, int, int]]:
     """(first, last, words) in ``doc`` of the longest passages of ``item``: unchanged runs in order, joined over
@@ -168,9 +191,14 @@ class Finder:
         begins, ends = edges[::2], edges[1::2]
         near: dict[int, list[tuple[int, int]]] = {}
         for b, e in zip(begins[ends - begins >= SEED_WORDS].tolist(), ends[ends - begins >= SEED_WORDS].tolist()):
-            for end, n, items in self.automaton.runs(ids[b:e].tolist(), SEED_WORDS):
+            for end, items in self.automaton.holders(ids[b:e].tolist(), SEED_WORDS):
+                end += b
                 for it in items:
-                    near.setdefault(it, []).append((b + end - n, b + end))
+                    seeds = near.setdefault(it, [])
+                    if seeds and seeds[-1][1] == end - 1:
+                        seeds[-1] = (seeds[-1][0], end)
+                    else:
+                        seeds.append((end - SEED_WORDS, end))
         out = []
         for it, seeds in near.items():
             item, reach = self.words[it], len(self.words[it]) + 8

@@ -323,6 +323,12 @@ def test_automaton_finds_longest_runs():
         assert end == len(doc) or not holds(doc[end - n : end + 1])
 
 
+def test_items_that_hold_part_of_a_longer_match():
+    w = [f"word{i}" for i in range(60)]
+    items = [(1, " ".join(w)), (2, " ".join(["first", *w[:20], "other"])), (3, " ".join(["second", *w[20:38], "other"])), (4, " ".join(["third", *w[44:]]))]
+    assert {x[0] for x in p8_leaks.Finder(items).leaks("before " + " ".join(w) + " after")} == {1, 2, 3, 4}
+
+
 # ---------------------------------------------------------------- p9
 
 GERMAN = "Die Proben wurden in der Kolonne bei hoher Temperatur gemessen. Dabei ist der Umsatz kleiner als erwartet, weil das Harz aufquillt. Wir haben die Filtration mehrfach wiederholt."
