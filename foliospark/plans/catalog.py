@@ -579,7 +579,7 @@ def jats_segments(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND NOT starts_with(text, '<')")
 def broken_xml(spark, d):
-    _, bad = jats.read_jats(table(spark, d, "documents").where("text IS NOT NULL AND NOT startswith(text, '<')").select("doc_id", F.col("text").alias("content")))
+    _, bad = jats.read_jats(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("content")))
     return bad.select(F.col("doc_id").cast("long").alias("doc_id"))
 
 

@@ -212,6 +212,23 @@ def test_jats(spark):
     assert {(r["doc_id"], r["broken_line"]) for r in failed.collect()} == {("bad", 2), ("null", 1)}
 
 
+def test_broken_xml_looks_at_all_texts(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    from foliospark.plans import catalog
+
+    rows = [(1, "<article><body/></article>"), (2, "<article><body></article>"), (3, "no markup"), (4, None), (5, ""), (6, "<a>&none;</a>")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def broken(text):
+        try:
+            ET.fromstring(text)
+        except ET.ParseError:
+            return True
+
+    assert {r["doc_id"] for r in catalog.QUERIES["broken_xml"](spark, str(tmp_path)).collect()} == {i for i, t in rows if t is not None and broken(t)}
+
+
 def test_json_lines(spark, tmp_path):
     from pyspark.sql import types as T
 
