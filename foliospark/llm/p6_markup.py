@@ -72,8 +72,8 @@ _KINDS = {
 _LEAF = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()), re.DOTALL)
 #: What a text must hold to be looked at: a superset of what the field was shown as markup.
 SUSPECT = (
-    r"(?m:^[ \t]+[*+>|=#:`~!-])|(?=[<&*_`~'\[\]{|$\\=^#>:+-])(?:</?[A-Za-z!?]|&#?[0-9A-Za-z]{2,31};|&#[0-9];|\*{1,3}(?=[^\s\d*])|`|~~|~\S{1,12}~|~\\|''|\[\[|\[https?:|\]\(|\]\[|\[\^|\]:|\{\||\|\}|\{\{|\|\||\|:?-|"
-    r"\$\$|\$(?=[^\s\d])|\$[^$\n]*[\\_^=][^$\n]*\$|\\[A-Za-z(\[,;:!%&_#{}$]|\{\\|[_^]\{|\^\S{1,12}\^|__[^\s_]|(?m:^[ \t]*(?:[*+>-]|#{1,6}|:{1,4})[ \t]+\S)|(?m:^:{1,4}\S)|(?m:^[ \t]*={1,6}[^=\n]+=)|(?m:^[ \t]*(?:={3,}|-{3,})[ \t]*$)|(?m:^[ \t]*\|)|(?<![\w\\])_(?=[^\s_]))"
+    r"(?m:^[ \t]+[*+>|=#:`~!-])|(?=[<&*_`~'\[\]{|$\\=^#>:+-])(?:</?[A-Za-z!?]|&#?[0-9A-Za-z]{2,31};|&#[0-9];|\*{1,3}(?=[^\s\d*])|\*\d[^*\n]{0,200}(?<=[^\s*])\*(?!\d)|`|~~|~\S{1,12}~|~\\|''|\[\[|\[https?:|\]\(|\]\[|\[\^|\]:|\{\||\|\}|\{\{|\|\||\|:?-|"
+    r"\$\$|\$(?=[^\s\d])|\$[^$\n]*[\\_^=][^$\n]*\$|\$[^$\n]{1,120}\$|\\[A-Za-z(\[,;:!%&_#{}$]|\{\\|[_^]\{|\^\S{1,12}\^|__[^\s_]|(?m:^[ \t]*(?:[*+>-]|#{1,6}|:{1,4})[ \t]+\S)|(?m:^:{1,4}\S)|(?m:^[ \t]*={1,6}[^=\n]+=)|(?m:^[ \t]*(?:={3,}|-{3,}|\*{3,})[ \t]*$)|(?m:^[ \t]*\|)|(?<![\w\\])_(?=[^\s_]))"
 )
 
 

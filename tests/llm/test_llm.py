@@ -253,6 +253,13 @@ def test_notations(text, want):
     assert p6_markup.notations(text, p6_markup.trained()) == want
 
 
+def test_filter_passes_digits_in_signs(spark):
+    texts = ["**1. Introduction**\nSome words.", "It is *2.5* here", "of *2.5*", "one\n\n***\n\ntwo", "about $10$ of it", "plain words, 3 * 4 * 5 and $10 only"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    assert {r["i"] for r in d.where(p6_markup.suspect(d["text"])).collect()} == {0, 1, 2, 3, 4}
+    assert p6_markup.notations(texts[0], p6_markup.trained()) == ["markdown"]
+
+
 def test_clean_keeps_structure():
     f = p6_markup.trained()
     assert p6_markup.clean("## Head\n\n* one **two**\n* three\n\n```\nx = 1\n```", f) == "# Head\n\n- one two\n- three\n\nx = 1"
