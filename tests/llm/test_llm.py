@@ -95,6 +95,7 @@ def test_shortfalls_and_sample(spark):
     for r in drawn:
         by.setdefault((r["plan_id"], r["category"]), set()).add(r["doc_id"])
     assert {k: len(v) for k, v in by.items()} == {(1, "Ann and Co"): 4, (1, "Rare"): 1, (2, "a"): 4, (3, "2020"): 10}  # the floor outranks the sample size
+    assert {(r["plan_id"], r["category"]): (r["drawn"], r["missing"]) for r in p2_sample.report(m, p).collect()} == {(1, "Ann and Co"): (4, 0), (1, "Rare"): (1, 1), (1, "None"): (0, 1), (2, "a"): (4, 0), (3, "2020"): (10, 1)}
     assert sorted(map(tuple, drawn)) == sorted(map(tuple, p2_sample.draw(m.repartition(3), p).collect()))
     assert p2_sample.draw(m.limit(0), p).count() == 0 and p2_sample.shortfalls(m.limit(0), p).count() == 5
 
@@ -108,13 +109,70 @@ def test_quotas_keep_sum_floor_and_cap(spark):
         rows += [(plan, f"c{i}", w[i] / sum(w), random.randint(0, 4), random.randint(4 * n, 60), random.randint(0, 40)) for i in range(n)]
         size = rows[-1][4]
         rows[-n:] = [(*r[:4], size, r[5]) for r in rows[-n:]]
-    got = p2_sample.quotas(spark.createDataFrame(rows, "plan_id int, category string, target_share double, min_rows int, sample_size long, available long")).collect()
+    rows = [(*r, max(r[3], round(r[2] * r[4]))) for r in rows]
+    got = p2_sample.quotas(spark.createDataFrame(rows, "plan_id int, category string, target_share double, min_rows int, sample_size long, available long, wanted long")).collect()
     for plan in range(25):
         rs = [r for r in got if r["plan_id"] == plan]
+        assert sum(r["quota"] for r in rs) >= min(rs[0]["sample_size"], sum(r["available"] for r in rs))  # no miss that other seeds could fill
+        assert {r["category"] for r in rs if r["unmet"]} == {r["category"] for r in rs if r["available"] < r["wanted"]}
         assert sum(r["quota"] for r in rs) <= max(rs[0]["sample_size"], sum(min(r["min_rows"], r["available"]) for r in rs))
         assert all(min(r["min_rows"], r["available"]) <= r["quota"] <= r["available"] for r in rs)
 
 
+def most_dealt(wanted, kinds, counts):
+    """The most records that can be dealt, one by one, by depth-first search of single records."""
+    records = [ks for ks, n in zip(kinds, counts) for _ in range(n)]
+    of = {}
+
+    def place(r, seen):
+        for c in records[r]:
+            if c in seen:
+                continue
+            seen.add(c)
+            mine = of.setdefault(c, [])
+            if len(mine) < wanted[c]:
+                mine.append(r)
+                return True
+            for i, other in enumerate(mine):
+                if place(other, seen):
+                    mine[i] = r
+                    return True
+        return False
+
+    return sum(place(r, set()) for r in range(len(records)))
+
+
+def test_dealing_of_records_with_several_categories():
+    rng = random.Random(6)
+    for _ in range(120):
+        n = rng.randint(1, 5)
+        kinds = list({tuple(sorted(rng.sample(range(n), rng.randint(1, n)))) for _ in range(rng.randint(1, 7))})
+        counts = [rng.randint(1, 6) for _ in kinds]
+        total = [sum(k for ks, k in zip(kinds, counts) if c in ks) for c in range(n)]
+        wanted = [rng.randint(0, t) for t in total]
+        floors = [rng.randint(0, w) for w in wanted]
+        got = p2_sample.dealt(floors, wanted, [1.0] * n, kinds, counts)
+        have = [sum(g.get(c, 0) for g in got) for c in range(n)]
+        assert all(sum(g.values()) <= k and set(g) <= set(ks) and min(g.values(), default=0) >= 0 for g, k, ks in zip(got, counts, kinds))
+        assert sum(min(h, f) for h, f in zip(have, floors)) == most_dealt(floors, kinds, counts)
+        assert sum(have) == min(sum(counts), sum(wanted))
+
+
+def test_floors_of_seeds_with_two_categories(spark):
+    rows = [(f"d{i}", None, "seed", None, None, ["A", "B"], "", "") for i in range(10)]
+    plan = spark.createDataFrame([(1, "subfields", "A", 0.1, 2, 10, ""), (1, "subfields", "B", 0.9, 2, 10, "")], PLAN)
+    drawn = p2_sample.draw(spark.createDataFrame(rows, MANIFEST), plan).collect()
+    n = {k: sum(r["category"] == k for r in drawn) for k in "AB"}
+    assert len({r["doc_id"] for r in drawn}) == len(drawn) == 10 and n["A"] >= 2 and n["B"] >= 2
+
+
+def test_caps_pass_rows_on(spark):
+    rows = [(f"d{i}", None, "seed", "J", None, None, "", "") for i in range(10)]
+    plan = spark.createDataFrame([(1, "journal", "J", 0.5, 0, 10, ""), (1, "journal", "K", 0.5, 0, 10, "")], PLAN)
+    got = {r["category"]: (r["quota"], r["drawn"], r["missing"]) for r in p2_sample.report(spark.createDataFrame(rows, MANIFEST), plan).collect()}
+    assert got == {"J": (10, 10, 0), "K": (0, 0, 5)}
+
+
 # ---------------------------------------------------------------- p3
 
 
