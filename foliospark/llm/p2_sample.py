@@ -257,7 +257,7 @@ u AS (SELECT *, CAST(round(sum(tt) OVER (PARTITION BY plan_id)) AS BIGINT) - sum
         row_number() OVER (PARTITION BY plan_id ORDER BY frac DESC, category) AS r, least(min_rows, available) AS fl FROM b),
 q AS (SELECT *, least(available, greatest(base + CASE WHEN r <= units AND frac > 0 THEN 1 ELSE 0 END, fl)) AS q0 FROM u),
 s AS (SELECT *, q0 - fl AS slack, greatest(0, sum(q0) OVER (PARTITION BY plan_id) - sample_size) AS over_n FROM q),
-g AS (SELECT *, coalesce(sum(slack) OVER (PARTITION BY plan_id ORDER BY slack DESC, category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM s)
+g AS (SELECT *, coalesce(sum(slack) OVER (PARTITION BY plan_id ORDER BY slack DESC, category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM s),
 h AS (SELECT *, CAST(q0 - greatest(0, least(slack, over_n - bef)) AS BIGINT) AS q1 FROM g),
 k AS (SELECT *, CAST(CASE WHEN tt > 0 THEN available - q1 ELSE 0 END AS BIGINT) AS room FROM h),
 l AS (SELECT *, CAST(sum(room) OVER (PARTITION BY plan_id ORDER BY category ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto, CAST(sum(room) OVER (PARTITION BY plan_id) AS BIGINT) AS rooms,
