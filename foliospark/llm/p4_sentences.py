@@ -1,7 +1,7 @@
 """Sentence boundaries by cascading segmentation rule tables.
 
 A rule is a pair of regular expressions, for the text before and after a position, and says whether a
-sentence may end there. Per language an ordered table is run through, then the table of its script,
+sentence may end there. The ordered table of a text's script is run through, then that of its language,
 then the general one; the first rule that matches decides the position.
 """
 
@@ -39,12 +39,13 @@ THAI_OPENERS = "ดังนั้น|เมื่อ|เรา|ค่า|งา
 
 CLOSERS = "\"'”’»)\\]）」』】›“‹"
 #: Positions that the rules are asked about: behind stops and what closes them, at line breaks, and at Thai blanks.
-_ASK = re.compile(rf"(?:[!?…。।॥։؟]|\.(?!\d))+(?:[{CLOSERS}*_]|\s?»)*|\n")
+_ASK = re.compile(rf"(?:[!?…。।॥։؟۔።။]|\.(?!\d))+(?:[{CLOSERS}*_]|\s?»)*|\n")
 _ASK_OF = {
     "th": re.compile(r"(?<=[\u0e00-\u0e7fA-Za-z0-9%/³²)])[ \xa0]+(?=[\u0e00-\u0e7f])|" + _ASK.pattern),
     "zh": re.compile(r"(?:[!?…。｡！？।]|\.(?!\d))+[”’」』】）)\]\"']*|\n"),
 }
 _ASK_OF["ja"] = _ASK_OF["zh"]
+_ASK_OF["el"] = re.compile(";(?=\\s)|" + _ASK.pattern)
 _BEFORE, _AFTER = 20, 32  # characters that a rule may look at on each side
 
 
@@ -54,7 +55,7 @@ def _abbr(words: str) -> str:
 
 
 # A rule: (ends a sentence?, text before, text after). Both patterns touch the position.
-_UPPER = r"[\"'„“«‘¿¡(\[{*_|<\\>#-]*\s?(?:[A-ZÀ-ÖØ-ÞĀ-ŽЀ-Я]|[a-z]{1,2}[A-Z]|[a-z]-[A-Z]|\|)"
+_UPPER = r"[\"'„“«‘¿¡(\[{*_|<\\>#-]*\s?(?:[A-ZÀ-ÖØ-ÞĀ-ŽЀ-ЯΆ-ΏΑ-ΫԱ-Ֆ]|[a-z]{1,2}[A-Z]|[a-z]-[A-Z]|\|)"
 RULES: dict[str, list[tuple[bool, str, str]]] = {
     **{k: [(False, _abbr(v), r"\s*[^\n]")] for k, v in ABBREVIATIONS.items()},
     "th": [
@@ -64,6 +65,7 @@ RULES: dict[str, list[tuple[bool, str, str]]] = {
     "zh": [(False, r"[。！？!?｡.]+[”’」』\"]+$", r"[^\s“「『]"), (True, r"[。！？｡]+[”’」』）)]*$", r"\s*\S"), (True, r"[!?]+$", r"\s*[^\s!?.,;:)\]]")],
 }
 RULES["ja"] = RULES["zh"]
+RULES["el"] = [(True, r";$", r"\s+[\"“«(]?[A-ZΆ-ΏΑ-Ϋ]"), (False, r";$", r"")]
 RULES["de"].insert(0, (False, r"(?:^|\s)\d{1,2}[a-z]?\.$", rf"\s+(?:{MONTHS})\b"))
 GENERAL: list[tuple[bool, str, str]] = [
     (True, r"\n\Z", r"[ \t]*\n"),  # an empty line
@@ -78,7 +80,9 @@ GENERAL: list[tuple[bool, str, str]] = [
     (False, r"[.!?…]+[\"'”’»“]+$", r"[^\s\n]"),  # a quotation that goes on, as in "…다."라고
     (False, r"[.!?…]+\s?[\"'”’»“]+$", r"\s+[a-zà-öø-ÿā-žа-я]"),
     (True, r"।$", r"\s*\S"),
-    (True, r"[.!?…。！？][)\]\"'”’»]*$", r"\s+[\"'“‘«(\[]?[ऀ-෿฀-๿぀-ヿ㐀-鿿가-힯ᄀ-ᇿ]"),
+    (True, r"[॥؟۔։።။][)\]\"'”’»]*$", r"\s*\S"),
+    # letters of scripts without capitals: Hebrew to Arabic, Indic to Lao, Myanmar and Georgian, Ethiopic, Khmer, East Asian ones
+    (True, r"[.!?…。！？][)\]\"'”’»]*$", r"\s+[\"'“‘«(\[]?[\u0591-\u06ff\u0750-\u077f\ufb1d-\ufdff\ufe70-\ufefcऀ-\u0eff\u1000-\u10ff\u1200-\u137f\u1780-\u17ff\u1c90-\u1cbf぀-ヿ㐀-鿿가-힯ᄀ-ᇿ]"),
     (True, r"[가-힣ᄀ-ᇿ]\.$", r"\s+[\d(\[]"),
     (True, rf"[.!?…]+(?:[{CLOSERS}*_]|\s?»)*$", rf"\s+{_UPPER}"),
     (True, r"[^\W\d_]{2,}[)\]]?\.$", r"\s+[\d(\[]"),
@@ -98,35 +102,99 @@ _HINT_OF = {k: set(v.split()) for k, v in _HINTS.items()}
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def language_of(text: str) -> str:
-    """The rule table for ``text``: by script, Latin-script languages by frequent words."""
-    if re.search(r"[฀-๿]", text):
-        return "th"
-    if re.search(r"[가-힯ᄀ-ᇿ]", text):
-        return "ko"
-    if re.search(r"[぀-ヿ]", text):
-        return "ja"
-    if re.search(r"[一-鿿]", text):
-        return "zh"
-    if re.search(r"[ऀ-ॿ]", text):
-        return "hi"
-    words = _WORDS.findall(text.lower())
-    if sum(1 for w in words if "а" <= w[0] <= "я") * 2 > len(words):
-        return "ru"
-    hits = {k: sum(w in v for w in words) for k, v in _HINT_OF.items()}
-    return max(hits, key=lambda k: (hits[k], k == "en"))
+_MARKS_OF = {w: tuple(k for k in _HINT_OF if w in _HINT_OF[k]) for k in _HINT_OF for w in _HINT_OF[k]}
+_SCRIPTS = {"th": "[\u0e00-\u0e7f]", "ko": "[\uac00-\ud7af\u1100-\u11ff]", "ja": "[\u3040-\u30ff]", "zh": "[\u4e00-\u9fff]", "hi": "[\u0900-\u097f]"}
+_ANY_SCRIPT = re.compile("|".join(f"(?P<{k}>{c})" for k, c in _SCRIPTS.items()))
+_HAS = {k: re.compile(c).search for k, c in _SCRIPTS.items()}
+_ALPHABETS = (("ru", re.compile("[\u0400-\u04ff]"), "а", "я"), ("el", re.compile("[\u0370-\u03ff]"), "ά", "ώ"))
 
 
-def cascade(lang: str) -> list[tuple[bool, re.Pattern, re.Pattern]]:
-    """The compiled rules for ``lang``: its own, the English ones, the general ones."""
-    tables = [RULES.get(lang, [])]
-    if lang != "en":
-        tables.append(RULES["en"])
-    own = [(ends, re.compile(b, re.IGNORECASE), re.compile(a)) for t in tables for ends, b, a in t]
-    return own + [(ends, re.compile(b), re.compile(a)) for ends, b, a in GENERAL]
+def languages_of(text: str) -> tuple[str, str]:
+    """(script table, table of the alphabet's language) for ``text``.
+
+    The first is that of a script that the text holds at all, or blank: its rules come first and ask
+    about signs of their own script only, so a foreign word doesn't take the other rules away. The
+    second is Russian or Greek by most words, else a Latin-script language by frequent words.
+    """
+    own = ""
+    if not text.isascii():
+        if _ANY_SCRIPT.search(text):
+            own = next(k for k, has in _HAS.items() if has(text))
+    low = text.lower()
+    if not text.isascii():
+        for k, letters, first, last in _ALPHABETS:
+            if letters.search(text):
+                words = _WORDS.findall(low)
+                if sum(1 for w in words if first <= w[0] <= last) * 2 > len(words):
+                    return own, k
+    hits = dict.fromkeys(_LATIN, 0)
+    for w in filter(_MARKS_OF.__contains__, low.split()):
+        for k in _MARKS_OF[w]:
+            hits[k] += 1
+    return own, max(hits, key=lambda k: (hits[k], k == "en"))
+
+
+class Rule:
+    """A rule ready to run. ``fits`` tells from the last two characters before a position whether its first pattern can
+    match at all; it spares the search and decides nothing."""
+
+    def __init__(self, ends: bool, before: re.Pattern, after: re.Pattern):
+        self.ends, self.before, self.after = ends, before.search, after.match
+        self.pattern = before.pattern
+        # Patterns that end in a fixed sign: what the last character must be.
+        tail = re.search(r"(\\n|\\\.)(?:\\Z|\$)$", self.pattern)
+        self.last = {"\\n": "\n", "\\.": "."}[tail[1]] if tail else "।" if self.pattern == "।$" else None
+
+    def fits(self, c1: str, c2: str) -> bool:
+        return self.last is None or c1 == self.last
+
+
+class AbbreviationRule(Rule):
+    """A rule for abbreviations: their last two letters must stand before the full stop."""
+
+    def __init__(self, ends: bool, before: re.Pattern, after: re.Pattern, words: str):
+        super().__init__(ends, before, after)
+        self.ends_in = set()
+        for w in words.split():
+            last = w.lower().split(".")[-1]
+            self.ends_in.add(last[-2:] if len(last) > 1 else "_" + last)
+
+    def fits(self, c1: str, c2: str) -> bool:
+        return c1 == "." and (c2 in self.ends_in or "_" + c2[-1:] in self.ends_in and not (c2[:1].isalpha() and c2[0] < "\u3000"))
+
+
+def cascade(*langs: str) -> list[Rule]:
+    """The compiled rules for ``langs``: their own in order, the English ones, the general ones."""
+    tables = [RULES.get(k, []) for k in dict.fromkeys((*langs, "en"))]
+    lists = {_abbr(v): v for v in (*ABBREVIATIONS.values(), ENDING_ABBREVIATIONS)}
+    own = [(r, re.IGNORECASE) for t in tables for r in t] + [(r, 0) for r in GENERAL]
+    out = []
+    for (ends, b, a), flags in own:
+        compiled = ends, re.compile(b, flags), re.compile(a)
+        out.append(AbbreviationRule(*compiled, lists[b]) if b in lists else Rule(*compiled))
+    return out
+
+
+class Table:
+    """The rules of a script and a language, listed by the characters before a position."""
+
+    def __init__(self, own: str, lang: str):
+        self.rules, self.ask = cascade(own, lang), _ASK_OF.get(own or lang, _ASK).finditer
+        self._by: dict[str, list] = {}
+
+    def at(self, chars: str) -> list:
+        """The rules that can match behind the given last three characters, in order."""
+        got = self._by.get(chars)
+        if got is None:
+            if len(self._by) > 50_000:
+                self._by.clear()
+            c2 = chars[:-1].lower()
+            got = self._by[chars] = [(r.ends, r.before, r.after) for r in self.rules if r.fits(chars[-1:], c2)]
+        return got
 
 
-_CASCADES: dict[str, list] = {}
+_TABLES: dict[tuple[str, str], Table] = {}
+_VISIBLE = re.compile(r"[^\W_]").search
 
 
 def sentence_ends(text: str | None, first: int | None = None) -> list[int]:
@@ -139,29 +207,30 @@ def sentence_ends(text: str | None, first: int | None = None) -> list[int]:
     if not text:
         return []
     plain, at = textform.skeleton(text)
-    if not re.search(r"[^\W_]", plain):
+    if not _VISIBLE(plain):
         return []
-    lang = language_of(plain)
-    rules = _CASCADES.get(lang) or _CASCADES.setdefault(lang, cascade(lang))
+    langs = languages_of(plain)
+    table = _TABLES.get(langs) or _TABLES.setdefault(langs, Table(*langs))
+    rules = table.at
     last = len(plain.rstrip())
     ends: list[int] = []
     begun = 0
-    for m in _ASK_OF.get(lang, _ASK).finditer(plain):
+    for m in table.ask(plain):
         p = m.end()
         if p >= last or first is not None and len(ends) >= first:
             break
         before, after = plain[max(0, p - _BEFORE) : p], plain[p : p + _AFTER]
-        for ends_here, b, a in rules:
-            if a.match(after) and b.search(before):
+        for ends_here, b, a in rules(before[-3:]):
+            if a(after) and b(before):
                 if ends_here:
                     e = len(plain[begun:p].rstrip()) + begun
-                    if e > begun and re.search(r"[^\W_]", plain[begun:e]):
+                    if e > begun and _VISIBLE(plain, begun, e):
                         ends.append(e)
                         begun = p
                 break
     if first is not None and len(ends) >= first:
         ends = ends[:first]
-    elif re.search(r"[^\W_]", plain[begun:last]):
+    elif _VISIBLE(plain, begun, last):
         ends.append(last)
     elif ends:
         ends[-1] = last

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -72,7 +73,32 @@ class One(dict):
 
 
 ONE, ONE_LATIN = One(False), One(True)
-_ODD = re.compile("[^\x20-\x7e\n²³¹⁰-₎µ°à-öø-ÿŐ-ſ]")
+
+
+def _class_of(changes) -> str:
+    """A character class of all code points for which ``changes`` holds; those beyond the basic plane are all in it."""
+    hit = [cp for cp in range(0x10000) if not 0xD800 <= cp < 0xE000 and changes(cp)]
+    runs: list[list[int]] = []
+    for cp in hit:
+        if runs and runs[-1][1] == cp - 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "\U00010000-\U0010ffff]"
+
+
+@functools.cache
+def _changed(kind: str) -> re.Pattern:
+    """The characters that a translation changes, so that only these are looked up."""
+    table: dict = {"fold": FOLD, "one": ONE, "latin": ONE_LATIN}[kind]
+    return re.compile(_class_of(lambda cp: table[cp] != chr(cp)) + ("+" if kind == "fold" else ""))
+
+
+def _translated(text: str, kind: str) -> str:
+    if kind == "fold":
+        return _changed(kind).sub(lambda m: m[0].translate(FOLD), text)
+    table = ONE_LATIN if kind == "latin" else ONE
+    return _changed(kind).sub(lambda m: table[ord(m[0])], text)
 _TOKEN = re.compile(r"(?:(?![⁰-₟²³¹¼-¾ªº])[^\W\d_][̀-ͯ]*)+")
 
 
@@ -81,7 +107,7 @@ def fold(text: str) -> str:
     full-width, joined and unit signs. Raised and lowered signs stay. Look-alike letters are left to ``repair``."""
     if text.isascii() and "\t" not in text and "\r" not in text:
         return text.strip()
-    return unicodedata.normalize("NFC", text.translate(FOLD)).strip()
+    return unicodedata.normalize("NFC", _translated(text, "fold")).strip()
 
 
 def script(ch: str) -> str:
@@ -155,14 +181,18 @@ def repair(folded: str, vocabulary) -> str:
     return _TOKEN.sub(lambda m: swap.get(m[0], m[0]), folded) if swap else folded
 
 
+#: Letters of two scripts in one word, maybe with letters of others and accents between.
+_MIXED = re.compile("[A-Za-zÀ-ÖØ-öø-\u024f\u1e00-\u1eff][\u0300-\u036f\u0250-\u02af\u0531-\u058f]*[\u0370-\u052f]|[\u0370-\u03ff][\u0300-\u036f\u0250-\u02af\u0531-\u058f]*[A-Za-zÀ-ÖØ-öø-\u024f\u1e00-\u1eff\u0400-\u052f]|[\u0400-\u052f][\u0300-\u036f\u0250-\u02af\u0531-\u058f]*[A-Za-zÀ-ÖØ-öø-\u024f\u1e00-\u1eff\u0370-\u03ff]")
+
+
 def skeleton(text: str) -> tuple[str, list[int]]:
     """A Latin-letter rendering of ``text`` for rules written in plain characters, and the place of each of its characters
     in ``text``. Invisible characters are left out; all others stand for one character each."""
     if text.isascii():
         return text, []
-    mixed = bool(_SUSPECT.search(text)) and len(_ONLY_CYRILLIC.findall(text)) < 3 and any(len({script(c) for c in t} & set("LCG")) > 1 for t in _TOKEN.findall(text))
+    mixed = bool(_SUSPECT.search(text)) and len(_ONLY_CYRILLIC.findall(text)) < 3 and bool(_MIXED.search(text))
     if not _DROPPED.search(text):
-        return text.translate(ONE_LATIN if mixed else ONE), []
+        return _translated(text, "latin" if mixed else "one"), []
     out, at = [], []
     for i, ch in enumerate(text):
         to = FOLD[ord(ch)]

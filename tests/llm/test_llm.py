@@ -233,6 +233,13 @@ def test_components_against_union_find(spark):
         ("डॉ. Lee ने मान पाया। यह कम है।", ["डॉ. Lee ने मान पाया।", "यह कम है।"]),
         ("Used in the autoclave.As shown it is lower.", ["Used in the autoclave.", "As shown it is lower."]),
         ("« Est-ce que cela suffit ? » demande M. Lee. Oui.", ["« Est-ce que cela suffit ? » demande M. Lee.", "Oui."]),
+        ("هذا نص أول. وهذا نص ثان؟ نعم هو كذلك.", ["هذا نص أول.", "وهذا نص ثان؟", "نعم هو كذلك."]),
+        ("Αυτό είναι κείμενο. Τι είναι αυτό; Είναι δοκιμή.", ["Αυτό είναι κείμενο.", "Τι είναι αυτό;", "Είναι δοκιμή."]),
+        ("זה משפט ראשון. וזה השני? כן.", ["זה משפט ראשון.", "וזה השני?", "כן."]),
+        ("Սա առաջինն է։ Սա երկրորդն է։", ["Սա առաջինն է։", "Սա երկրորդն է։"]),
+        ("ეს პირველია. ეს მეორეა?", ["ეს პირველია.", "ეს მეორეა?"]),
+        ("यह पहला है॥ यह दूसरा है॥", ["यह पहला है॥", "यह दूसरा है॥"]),
+        ("Das gilt z. B. für ก und bzw. Gl. (3). Es ist so.", ["Das gilt z. B. für ก und bzw. Gl. (3).", "Es ist so."]),
     ],
 )
 def test_sentences(text, want):
