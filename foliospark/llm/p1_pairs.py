@@ -7,20 +7,22 @@ termination label the other defects.
 
 from __future__ import annotations
 
-import difflib
 import functools
 import hashlib
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark.llm import langmodel, textform
 from foliospark.llm.p4_sentences import split_sentences
+from foliospark.llm.p9_language import SAMPLE, sample
 from foliospark.operators.components import components
 from foliospark.session import cut_lineage
 from foliospark.sources.tables import table
@@ -31,6 +33,10 @@ SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 8, 4
 OPENING_SENTENCES, RECUR_SEEDS = 3, 2
 #: Words besides templates from which on an answer carries content.
 CONTENT_WORDS = 20
+#: Share of a template's words that stand in the prompts, from which on it belongs to what was asked.
+RELATED = 0.5
+#: Words whose hashes a worker remembers; beyond that it forgets all. Changes speed only.
+MEMO = 400_000
 #: Similarity in words from which on an answer is a copy; paragraphs that are wanted.
 COPY, PARAGRAPHS = 0.93, 3
 
@@ -84,14 +90,31 @@ def asked_language(prompt: str) -> str:
     return langmodel.label_of(m[0]) if m else "en"
 
 
+def in_order(a: list[str], b: list[str]) -> int:
+    """Words that two texts have in common in order (the longest common subsequence), in one pass over bits of ``a`` per word of ``b``."""
+    n = min(len(a), len(b))
+    head = next((i for i in range(n) if a[i] != b[i]), n)
+    tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    at: dict[str, int] = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    free = every  # zero bits: where the subsequence grows
+    for w in b:
+        if hit := at.get(w, 0) & free:
+            free = (free + hit | free - hit) & every
+    return head + tail + len(a) - free.bit_count()
+
+
 def similarity(a: list[str], b: list[str]) -> float:
-    """Matching words of two texts in order, 0 to 1; 0 at once where the words alone are too different."""
+    """Words of two texts that match in order, as a share of all, 0 to 1; 0 at once where the words alone are too different."""
     if not a or not b:
         return 0.0
     common = sum((Counter(a) & Counter(b)).values())
     if 2 * common / (len(a) + len(b)) < COPY:
         return 0.0
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return 2 * in_order(a, b) / (len(a) + len(b))
 
 
 def is_copy(act: str | None, prompt: str, answer: str) -> bool:
@@ -140,12 +163,12 @@ def is_truncated(answer: str) -> bool:
     return not _END.search(last) or bool(_OPEN_END.search(last))
 
 
-@functools.cache
-def _classifier() -> langmodel.Classifier:
-    return langmodel.fit([]).classifier()
+@functools.lru_cache(2)
+def _classifier(model: bytes) -> langmodel.Classifier:
+    return pickle.loads(model).classifier()
 
 
-def wrong_language(answers: list[str], asked: list[str]) -> list[bool]:
+def wrong_language(answers: list[str], asked: list[str], classifier: langmodel.Classifier) -> list[bool]:
     """For every answer whether next to nothing of it is in the language asked for."""
     parts, owner = [], []
     for i, a in enumerate(answers):
@@ -153,7 +176,7 @@ def wrong_language(answers: list[str], asked: list[str]) -> list[bool]:
             if _WORD.search(p):
                 parts.append(p)
                 owner.append(i)
-    lang, sure, letters, _ = _classifier().per_text(parts)
+    lang, sure, letters, _ = classifier.per_text(parts)
     total, right = np.zeros(len(answers)), np.zeros(len(answers))
     for i, k, n in zip(owner, lang.tolist(), letters.tolist()):
         if k >= 0:
@@ -178,26 +201,39 @@ def pairs(tasks: DataFrame, outputs: DataFrame) -> DataFrame:
     return j.select("variant_id", "seed_id", "act", (F.col("n") + 1).alias("step_no"), prompt.alias("prompt"), F.get("answers", F.col("n")).alias("answer"))
 
 
-_CHECKED = "variant_id string, seed_id string, step_no int, defect string, sentences array<string>, declining array<string>, polite array<string>, content int"
-
-
-def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        answers = [a or "" for a in b["answer"]]
-        wrong = wrong_language(answers, [asked_language(p) for p in b["prompt"]])
-        rows = []
-        for v, s, act, n, prompt, a, w in zip(b["variant_id"], b["seed_id"], b["act"], b["step_no"], b["prompt"], answers, wrong):
-            if is_empty(a):
-                rows.append((v, s, n, "empty", [], [], [], 0))
-                continue
-            defect = "copied" if is_copy(act, prompt, a) else "wrong_language" if w else "truncated" if is_truncated(a) else None
-            # A refusal outranks these.
-            said = [(x, y) for y in split_sentences(a) if (x := " ".join(words(y)))]
-            first = said[:OPENING_SENTENCES]
-            declining = [x for x, y in first if _DECLINE.search(textform.fold(y).lower().replace("’", "'"))]
-            polite = [x for x, y in first if _OPENER.match(y) or _OPENER_LINE.match(y + " ")]
-            rows.append((v, s, n, defect, [x for x, _ in said], declining, polite, len(words(a))))
-        yield pd.DataFrame(rows, columns=["variant_id", "seed_id", "step_no", "defect", "sentences", "declining", "polite", "content"])
+_CHECKED = "variant_id string, seed_id string, step_no int, defect string, content int, own boolean, units array<struct<i:int,text:string,words:int,declines:boolean,polite:boolean,related:double>>"
+
+
+def _checker(model):
+    """Checks of single pairs; the classifier's model is broadcast."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classifier = _classifier(model.value)
+        for b in batches:
+            answers = [a or "" for a in b["answer"]]
+            wrong = wrong_language(answers, [asked_language(p) for p in b["prompt"]], classifier)
+            rows = []
+            for v, s, act, n, prompt, a, w in zip(b["variant_id"], b["seed_id"], b["act"], b["step_no"], b["prompt"], answers, wrong):
+                if is_empty(a):
+                    rows.append((v, s, n, "empty", 0, False, []))
+                    continue
+                defect = "copied" if is_copy(act, prompt, a) else "wrong_language" if w else "truncated" if is_truncated(a) else None
+                # A refusal outranks these.
+                said = [(" ".join(x), len(x), y) for y in split_sentences(a) if (x := words(y))]
+                asked = set(words(prompt))
+                units = []
+                for i, (text, k, y) in enumerate(said):
+                    first = i < OPENING_SENTENCES
+                    declines = first and bool(_DECLINE.search(textform.fold(y).lower().replace("’", "'")))
+                    polite = first and bool(_OPENER.match(y) or _OPENER_LINE.match(y + " "))
+                    units.append((i, text, k, declines, polite, sum(x in asked for x in text.split()) / k))
+                own = any(u[3] for u in units)
+                if not own and defect not in ("wrong_language", "truncated"):
+                    units = units[:OPENING_SENTENCES]
+                rows.append((v, s, n, defect, sum(k for _, k, _ in said), own, units))
+            yield pd.DataFrame(rows, columns=["variant_id", "seed_id", "step_no", "defect", "content", "own", "units"])
+
+    return check
 
 
 def shingles(text: str) -> set[str]:
@@ -206,96 +242,154 @@ def shingles(text: str) -> set[str]:
 
 
 @functools.cache
-def _salts() -> np.ndarray:
-    return np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-
-
-def signature(text: str) -> list[bytes]:
-    """One key per band of the MinHash signature of a text's shingles."""
-    h = np.array([int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little") for s in shingles(text)], np.uint64)
-    low = (h[:, None] * _salts()[None, :] ^ (h[:, None] >> np.uint64(29))).min(0)
-    return [bytes([b]) + low[b * ROWS : (b + 1) * ROWS].tobytes() for b in range(BANDS)]
+def _salts() -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(11)
+    odd = lambda n: r.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
+    return odd(BANDS * ROWS), odd(SHINGLE)
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > MEMO:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
+
+
+_HASHES = _WordHashes()
+
+
+def signatures(texts: list[str]) -> list[list[int]]:
+    """One key per band of the MinHash signature of every text's shingles; none for texts of one shingle, which are like no other."""
+    salts, powers = _salts()
+    ws = [t.split() for t in texts]
+    long = [i for i, w in enumerate(ws) if len(w) > SHINGLE]
+    out: list[list[int]] = [[] for _ in texts]
+    if not long:
+        return out
+    hashes = np.fromiter((_HASHES[w] for i in long for w in ws[i]), np.uint64)
+    sizes = np.array([len(ws[i]) for i in long])
+    n = len(hashes) - SHINGLE + 1
+    rolled = np.zeros(n, np.uint64)
+    for j in range(SHINGLE):
+        rolled += hashes[j : j + n] * powers[j]
+    rolled ^= rolled >> np.uint64(29)
+    begins = np.cumsum(sizes) - sizes
+    inside = np.ones(len(hashes), bool)  # shingles that don't reach into the next text
+    for j in range(1, SHINGLE):
+        inside[begins + sizes - j] = False
+    rolled = rolled[inside[:n]]
+    counts = sizes - SHINGLE + 1
+    at = np.cumsum(counts) - counts
+    keys = np.zeros((len(long), BANDS), np.uint64)
+    for k in range(BANDS * ROWS):
+        low = np.minimum.reduceat((rolled * salts[k]) >> np.uint64(24), at)
+        keys[:, k // ROWS] = (keys[:, k // ROWS] ^ low) * salts[-1 - k // ROWS] + np.uint64(k // ROWS)
+    for i, row in zip(long, keys.view(np.int64).tolist()):
+        out[i] = row
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bands(s: pd.Series) -> pd.Series:
+    return pd.Series(signatures(s.tolist()), dtype=object)
+
+
+def _shingled(c: str) -> Column:
+    return F.expr(f"array_distinct(transform(sequence(0, greatest(size(split({c}, ' ')) - {SHINGLE}, 0)), i -> array_join(slice(split({c}, ' '), i + 1, {SHINGLE}), ' ')))")
+
+
+def _alike(a: str, b: str) -> Column:
+    return F.size(F.array_intersect(_shingled(a), _shingled(b))) >= F.round(F.lit(SIMILAR) * F.size(F.array_union(_shingled(a), _shingled(b))), 9)
 
 
 def clusters(texts: DataFrame) -> DataFrame:
-    """(text, cluster): the connected classes of distinct texts that share 0.8 of their five-word shingles.
-
-    Candidates share a band; in a band every text is verified against the band's smallest text and its
-    neighbour in order, so links grow with the texts, not with their pairs. Where a band still holds
-    several classes, all pairs between these are verified. A text without a link is a class of its own.
-    Null texts are left out.
+    """(text, cluster): the connected classes of distinct texts that share 0.8 of their five-word shingles, named by their smallest text.
+
+    Candidates share a band of their MinHash signatures; every link is verified. In a band every text is
+    verified against the band's smallest and greatest text, so links grow with the texts, not with
+    their pairs. Where a band still holds several classes, texts of different classes that share one of
+    the shingles by which such a pair must meet (the smallest fifth of each text's shingles in one
+    order, an exact condition) are verified too. A text without a link is a class of its own. Null texts
+    are left out, repeated ones count once, an empty table gives no rows.
     """
-    import pyspark.sql.types as T
-
-    bands = F.udf(signature, T.ArrayType(T.BinaryType()), useArrow=True)
-    one = cut_lineage(texts.where("text IS NOT NULL").distinct())
-    banded = one.select("text", F.explode(bands("text")).alias("band"))
-    w = Window.partitionBy("band").orderBy("text")
-    near = banded.select("text", F.first("text").over(w).alias("least"), F.lag("text").over(w).alias("before"))
-    links = near.where("text <> least").select(F.col("text").alias("a"), F.explode(F.array_distinct(F.array("least", F.coalesce("before", "least")))).alias("b")).distinct()
-    alike = F.udf(lambda a, b: len((x := shingles(a)) & (y := shingles(b))) >= SIMILAR * len(x | y), T.BooleanType(), useArrow=True)
-    links = cut_lineage(links.where("a <> b").where(alike("a", "b")))
-    owned = banded.join(components(links), F.col("text") == F.col("node"), "left").select("band", "text", F.coalesce("component", "text").alias("class"))
-    mixed = owned.groupBy("band").agg(F.count_distinct("class").alias("classes")).where("classes > 1").select("band")
-    rest = cut_lineage(owned.join(mixed, "band"))
-    other = rest.select("band", F.col("text").alias("b"), F.col("class").alias("of_b"))
-    across = rest.withColumnRenamed("text", "a").join(other, "band").where("class < of_b").select("a", "b").distinct()
-    comp = components(links.unionByName(across.where(alike("a", "b"))))
-    return one.join(comp, F.col("text") == F.col("node"), "left").select("text", F.coalesce("component", "text").alias("cluster"))
-
-
-def recurring(units: DataFrame) -> DataFrame:
-    """(text, cluster): sentences whose cluster recurs in answers to prompts of several seeds, of ``units`` (seed_id, text)."""
-    known = clusters(units.select("text"))
-    often = units.join(known, "text").groupBy("cluster").agg(F.count_distinct("seed_id").alias("seeds")).where(F.col("seeds") >= RECUR_SEEDS)
-    return known.join(often, "cluster").select("text", "cluster")
-
-
-def templates(checked: DataFrame) -> DataFrame:
-    """(text, cluster, declines, polite): opening sentences of any answers that recur, and whether a sentence of their cluster has
-    a wording that declines, or that of a remark before an answer."""
-    t = recurring(checked.select("seed_id", F.explode(F.slice("sentences", 1, OPENING_SENTENCES)).alias("text")))
-    said = [checked.select(F.explode(k).alias("text")).distinct().withColumn(k, F.lit(True)) for k in ("declining", "polite")]
-    kinds = t.join(said[0], "text", "left").join(said[1], "text", "left").groupBy("cluster").agg(F.coalesce(F.max("declining"), F.lit(False)).alias("declines"), F.coalesce(F.max("polite"), F.lit(False)).alias("polite"))
-    return t.join(kinds, "cluster").select("text", "cluster", "declines", "polite")
+    one = cut_lineage(texts.where("text IS NOT NULL").select("text").distinct().withColumn("id", F.unhex(F.md5("text"))))
+    banded = one.select("id", F.explode(_bands("text")).alias("band"))
+    ends = banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
+    crowded = cut_lineage(banded.join(ends, "band"))
+    near = crowded.select("id", F.explode(F.array("least", "most")).alias("other")).where("id <> other")
+    named = lambda x: one.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().join(named("a"), "a").join(named("b"), "b").where(_alike("text_a", "text_b")).select("a", "b")
+
+    links = cut_lineage(verified(near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))))
+    comp = components(links)
+    owned = crowded.join(comp, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("class"))
+    mixed = owned.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band")
+    rest = owned.join(mixed, "band").join(one, "id")
+    # Two texts of at least 0.8 share one of the first n - ceil(0.8 n) + 1 of their n shingles in any order.
+    hashed = F.array_sort(F.transform(_shingled("text"), lambda x: F.xxhash64(x)))
+    keyed = rest.select("band", "id", "class", hashed.alias("h")).select("band", "id", "class", F.explode(F.expr(f"slice(h, 1, size(h) - cast(ceil(round({SIMILAR} * size(h), 9)) as int) + 1)")).alias("h"))
+    keyed = cut_lineage(keyed)
+    other = keyed.select("band", "h", F.col("id").alias("other"), F.col("class").alias("of_other"))
+    across = keyed.join(other, ["band", "h"]).where("class < of_other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    more = cut_lineage(verified(across))
+    if not more.isEmpty():
+        comp = components(links.unionByName(more))
+    linked = one.join(comp, F.col("id") == F.col("node"))
+    named = linked.groupBy("component").agg(F.min("text").alias("cluster"))
+    return one.join(comp, F.col("id") == F.col("node"), "left").join(named, "component", "left").select("text", F.coalesce("cluster", "text").alias("cluster"))
 
 
 def refusals(checked: DataFrame) -> DataFrame:
     """(variant_id, step_no) of the answers that open with a template of refusals and hold next to nothing besides templates.
 
-    A template is one of refusals if a wording of its cluster declines, or, whatever its wording, if it
-    isn't polite and most answers that open with it are cut short or in another language, and hold nothing else. An answer that
-    declines in a wording of its own may open with any template. Template words count in all sentences.
+    Opening sentences of all answers, and all sentences of answers that may be refusals, are clustered; a
+    cluster that recurs in answers to prompts of several seeds is a template. It is one of refusals if
+    most answers that open with it hold nothing besides templates, and it isn't a polite opener nor made
+    of the words of the prompts; wordings known to decline only break ties, for a template that few
+    answers open with, and for an answer that declines in a wording of its own behind a template.
     """
     key = ["variant_id", "step_no"]
-    t = cut_lineage(templates(checked))
-    opens = cut_lineage(checked.select(*key, F.explode(F.array_distinct(F.slice("sentences", 1, OPENING_SENTENCES))).alias("text")).join(t, "text").groupBy(*key, "cluster").agg(F.max("declines").alias("declines"), F.max("polite").alias("polite")))
-    by = opens.groupBy(*key).agg(F.max("declines").alias("by_wording"), F.max(~F.col("polite")).alias("by_use"))
-    asked = checked.join(by, key, "left").where("size(declining) > 0 OR by_wording OR (by_use AND defect IN ('wrong_language', 'truncated'))")
-    units = cut_lineage(asked.select(*key, "seed_id", "content", (F.size("declining") > 0).alias("own"), F.posexplode("sentences").alias("i", "text")))
-    known = t.select("text").union(recurring(units.select("seed_id", "text")).select("text")).distinct().withColumn("known", F.lit(True))
-    said = F.sum(F.when(F.col("known"), F.size(F.split("text", " "))).otherwise(0))
-    hit = units.join(known, "text", "left").groupBy(*key).agg(F.first("own").alias("own"), F.max(F.when(F.col("known") & (F.col("i") < OPENING_SENTENCES), True)).alias("template"), (F.first("content") - said < CONTENT_WORDS).alias("bare"))
-    bare = cut_lineage(hit.where("bare AND template"))
-    use = opens.join(bare.select(*key, "bare"), key, "left").groupBy("cluster").agg((F.avg(F.when(F.col("bare"), 1).otherwise(0)) > 0.5).alias("mostly_bare"))
-    refusing = opens.join(use, "cluster").where("declines OR (mostly_bare AND NOT polite)").select(*key).distinct()
-    return bare.where("own").select(*key).union(bare.join(refusing, key, "left_semi").select(*key)).distinct()
-
-
-def defects(tasks: DataFrame, outputs: DataFrame) -> DataFrame:
+    units = cut_lineage(checked.select(*key, "seed_id", "content", "own", F.explode("units").alias("u")).select(*key, "seed_id", "content", "own", "u.*"))
+    one = units.groupBy("text").agg(F.min("seed_id").alias("lo"), F.max("seed_id").alias("hi"), F.max("declines").alias("declines"), F.max("polite").alias("polite"))
+    labelled = clusters(units.select("text")).join(one, "text")
+    often = labelled.groupBy("cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("declines").alias("c_declines"), F.max("polite").alias("c_polite")).where("lo <> hi").select("cluster", "c_declines", "c_polite")
+    known = cut_lineage(labelled.select("text", "cluster").join(often, "cluster"))
+    said = units.join(known, "text")
+    opening = F.col("i") < OPENING_SENTENCES
+    hit = said.groupBy(*key).agg(
+        F.first("own").alias("own"), (F.first("content") - F.sum("words") < CONTENT_WORDS).alias("bare"),
+        F.collect_set(F.when(opening, F.struct("cluster", "c_declines", "c_polite"))).alias("opens"), F.max(F.when(opening, F.col("related"))).alias("related"),
+    )
+    hit = cut_lineage(hit.where("size(opens) > 0"))
+    opens = hit.select(*key, "bare", "related", F.explode("opens").alias("c")).select(*key, "bare", "related", "c.*")
+    share = F.avg(F.when(F.col("bare"), 1).otherwise(0))
+    use = opens.groupBy("cluster").agg(share.alias("share"), F.avg("related").alias("related"), F.first("c_declines").alias("c_declines"), F.first("c_polite").alias("c_polite"))
+    refusing = use.where(f"c_declines OR (share > 0.5 AND NOT c_polite AND related < {RELATED})").select("cluster")
+    bare = hit.where("bare")
+    by_template = opens.where("bare").join(refusing, "cluster", "left_semi").select(*key)
+    return bare.where("own").select(*key).union(by_template).distinct()
+
+
+def defects(tasks: DataFrame, outputs: DataFrame, model: langmodel.Model | None = None) -> DataFrame:
     """(variant_id, step_no, defect) of the defective pairs; see the checks for what each defect is.
 
     The first that fits of empty, refusal, copied, wrong_language, truncated is given. The openings of all
-    answers are clustered, and all sentences of those that may be refusals.
+    answers are clustered, and all sentences of those that may be refusals. ``model`` tells languages; by
+    default it knows frequent words only.
     """
-    checked = cut_lineage(pairs(tasks, outputs).mapInPandas(_check, _CHECKED))
+    shared = tasks.sparkSession.sparkContext.broadcast(pickle.dumps(model or langmodel.fit([])))  # a few MB
+    checked = cut_lineage(pairs(tasks, outputs).mapInPandas(_checker(shared), _CHECKED))
     refused = refusals(checked).withColumn("refused", F.lit("refusal"))
     label: Column = F.when(F.col("defect") == "empty", F.col("defect")).otherwise(F.coalesce("refused", "defect"))
     return checked.join(refused, ["variant_id", "step_no"], "left").select("variant_id", "step_no", label.alias("defect")).where("defect IS NOT NULL")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defects(table(spark, sf_dir, "tasks"), table(spark, sf_dir, "outputs_openai"))
+    model = langmodel.fit(sample(table(spark, sf_dir, "documents")), SAMPLE)
+    return defects(table(spark, sf_dir, "tasks"), table(spark, sf_dir, "outputs_openai"), model)
 
 
 SQL: dict[str, str] = {}

@@ -35,7 +35,7 @@ def sample(documents: DataFrame, per_language: int = SAMPLE, seed: int = SEED) -
     The only rows that reach the driver; every label is thinned to the wanted number by a hash of the
     id, and texts beyond 2,000 characters lend a random stretch of that length.
     """
-    counts = {r["lang"]: r["count"] for r in documents.where("lang IS NOT NULL AND length(trim(text)) > 0").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LABELS).collect() if langmodel.label_of(r["lang"]) in langmodel.LANGUAGES}
+    counts = {r["lang"]: r["count"] for r in documents.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LABELS).collect() if langmodel.label_of(r["lang"]) in langmodel.LANGUAGES}
     if not counts:
         return []
     per_code = Counter()

@@ -73,7 +73,9 @@ def test_clusters_against_brute_force(spark):
 
 
 def test_clusters_of_a_band_that_mixes_groups(spark, monkeypatch):
-    monkeypatch.setattr(p1_pairs, "signature", lambda text: [b"one band"])
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(p1_pairs, "_bands", lambda c: F.array(F.lit(7).cast("long")))
     texts = [f"{'abcdef'[i]} " + " ".join(f"{'xyz'[i % 3]}{j}" for j in range(40)) for i in range(6)]
     got = {r["text"]: r["cluster"] for r in p1_pairs.clusters(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
     assert [got[t] for t in texts] == texts[:3] * 2
@@ -442,7 +444,57 @@ def test_labels():
     assert [langmodel.label_of(x) for x in ("EN", "en-US", "German", "zho", "??", "", None, "und", "n/a", "unknown", "pt_BR", "한국어")] == ["en", "en", "de", "zh", None, None, None, None, None, None, "pt", "ko"]
 
 
-def test_similarity_is_the_ratio():
-    a, b = "a b c d e f g h i j".split(), "a b c d e f g h i k".split()
-    assert p1_pairs.similarity(a, a) == 1.0
-    assert p1_pairs.similarity(a, b) in (0.0, difflib.SequenceMatcher(None, a, b).ratio())
+def test_similarity_is_the_share_of_words_in_order():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = (rng.choices("abcdef", k=rng.randint(0, 30)) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = old[j] + 1 if x == y else max(row[j], old[j + 1])
+        assert p1_pairs.in_order(a, b) == row[-1]
+        assert p1_pairs.in_order(a, b) >= sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    assert p1_pairs.similarity(a, a) == 1.0 and p1_pairs.similarity("a b".split(), "c d".split()) == 0.0
+    long = [f"w{i % 977}" for i in range(40_000)]
+    assert p1_pairs.similarity(long, ["x", *long[:20_000], "y", *long[20_000:]]) > 0.99  # a copy of a very long text
+
+
+def test_recall_of_links_against_brute_force(spark):
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randint(24, 40))
+        texts.append(base)
+        for _ in range(rng.randint(0, 6)):
+            v = base[:]
+            for _ in range(rng.randint(1, 2)):
+                v[rng.choice((0, -1, rng.randrange(len(v))))] = rng.choice(words)
+            texts.append(v)
+    texts = list(dict.fromkeys(map(" ".join, texts)))
+    got = {r["text"]: r["cluster"] for r in p1_pairs.clusters(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    sets = [p1_pairs.shingles(t) for t in texts]
+    links = [(a, b) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    kept = sum(got[a] == got[b] for a, b in links)
+    assert len(links) > 100 and kept >= 0.95 * len(links)
+    root = {t: t for t in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a in texts for b in texts if got[a] == got[b])  # no link that isn't one
+
+
+def test_templates_without_a_known_wording_and_words_of_the_prompt(spark):
+    ask = "Reword this text. Answer with three paragraphs.\n\n" + WHOLE.format(1)
+    said = "This falls outside what I provide. Reach out to your editor for other ways forward."
+    assert not p1_pairs._DECLINE.search(said.lower())
+    rows = [(f"r{i}", f"s{i}", "rewriting", [ask], [said]) for i in range(6)]
+    rows += [(f"t{i}", f"s{i}", "rewriting", [ask], ["Heat losses of 1 W were seen at the wall."]) for i in range(6)]
+    got = pairs(spark, rows)
+    assert got == {(f"{k}{i}", 1): "refusal" if k == "r" else "truncated" for k in "rt" for i in range(6)}
