@@ -16,8 +16,12 @@ LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "ru", "ko", "zh", "ja", "
 FEATURES, LONGEST, CENTROIDS = 16384, 3, 3
 #: Words that a worker remembers; beyond that it forgets all. Changes speed only.
 MEMO = 200_000
-#: Cosine below which a text belongs to none of the languages.
-REJECT = 0.02
+#: Nearness below which a text belongs to none of the languages, for languages without labelled texts. For others it is
+#: ``REJECT_SHARE`` of what all but ``REJECT_QUANTILE`` of the sentences of their labelled texts reach, as texts on other
+#: matters are farther off. A label that names another language than these is only doubted where a text reaches ``DOUBT_SHARE``.
+REJECT, REJECT_SHARE, DOUBT_SHARE, REJECT_QUANTILE = 0.025, 0.5, 0.9, 0.01
+#: Sentences of labelled texts that a language needs for a limit of its own; letters from which on a sentence counts.
+LEAST_FITTED, LEAST_FITTED_LETTERS = 20, 20
 
 # Frequent words of each language, so that one without labelled texts is known too.
 SEED_TEXTS = {
@@ -84,16 +88,6 @@ def _h(gram: str) -> int:
     return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % FEATURES
 
 
-def _unit_vector(text: str, idf: np.ndarray | None = None) -> np.ndarray:
-    v = np.zeros(FEATURES, np.float32)
-    for g, n in Counter(grams(text.lower().replace("[formula]", " "))).items():
-        v[_h(g)] += n
-    if idf is not None:
-        v *= idf
-    n = float(np.linalg.norm(v))
-    return v / n if n else v
-
-
 class _Hashes(dict):
     def __missing__(self, gram: str) -> int:
         if len(self) > MEMO:
@@ -108,11 +102,15 @@ _WORDLESS = re.compile(r"[\W\d_]*(?:\[formula\][\W\d_]*)?")
 
 @dataclass
 class Model:
-    """Unit centroids (features x centroids), already weighted by idf, and the language of each centroid."""
+    """Unit centroids (features x centroids), already weighted by idf, the language of each centroid, the nearness that
+    each language asks for, and margins with the share of right answers that they stand for."""
 
     idf: np.ndarray
     weights: np.ndarray
     owner: np.ndarray
+    limits: np.ndarray
+    margins: np.ndarray
+    shares: np.ndarray
 
     def classifier(self) -> "Classifier":
         return Classifier(self)
@@ -122,7 +120,8 @@ def fit(labelled: list[tuple[str, str]], per_language: int = 400) -> Model:
     """A model of (language, text) rows, at most ``per_language`` texts each, and of the seed texts.
 
     Texts that stand nearer to another language's first centroid are taken for wrongly labelled and
-    left out; the rest is clustered into at most three centroids per language.
+    left out; the rest is clustered into at most three centroids per language. From the sentences of these
+    texts follow the limits of nearness, and how often a margin stands for the right language.
     """
     texts: dict[str, list[str]] = defaultdict(list)
     for lang, text in labelled:
@@ -159,9 +158,12 @@ def fit(labelled: list[tuple[str, str]], per_language: int = 400) -> Model:
     names = list(vectors)
     base = np.stack([first[k] for k in names])
     columns, owner = [], []
+    kept: list[tuple[str, str]] = []
     for k in names:
         v = vectors[k]
-        own = v[np.argmax(v @ base.T, 1) == names.index(k)]
+        right = np.argmax(v @ base.T, 1) == names.index(k)
+        kept += [(k, t) for t, ok in zip(texts[k][:-1], right) if ok]
+        own = v[right]
         own = own if len(own) else v[-1:]
         centres = [unit(own.mean(0))]
         while len(centres) < min(CENTROIDS, len(own)):
@@ -172,7 +174,37 @@ def fit(labelled: list[tuple[str, str]], per_language: int = 400) -> Model:
         columns += centres
         owner += [LANGUAGES.index(k)] * len(centres)
     weights = np.stack(columns).T * idf[:, None]
-    return Model(idf, np.ascontiguousarray(weights, np.float32), np.array(owner))
+    model = Model(idf, np.ascontiguousarray(weights, np.float32), np.array(owner), np.full(len(LANGUAGES), REJECT), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    return _calibrated(model, kept)
+
+
+def _calibrated(model: Model, kept: list[tuple[str, str]]) -> Model:
+    """``model`` with the limits and margins that the sentences of labelled texts give."""
+    from foliospark.llm.p4_sentences import split_sentences
+
+    own, sentences = [], []
+    for k, t in kept:
+        found = split_sentences(t)
+        sentences += found
+        own += [LANGUAGES.index(k)] * len(found)
+    lang, margin, letters, near = model.classifier().per_text(sentences)
+    own, enough = np.array(own, int), letters >= LEAST_FITTED_LETTERS
+    for k in range(len(LANGUAGES)):
+        mine = near[enough & (own == k) & (lang == k)]
+        if len(mine) >= LEAST_FITTED:
+            model.limits[k] = max(REJECT, REJECT_SHARE * float(np.quantile(mine, REJECT_QUANTILE)))
+    if enough.sum() >= LEAST_FITTED * len(LANGUAGES):
+        # Isotonic: pool neighbours of 50 margins each until the share of right answers rises with the margin.
+        order = np.argsort(margin[enough])
+        hits, at = (lang == own)[enough][order], margin[enough][order]
+        blocks: list[list[float]] = []
+        for i in range(0, len(at), 50):
+            blocks.append([float(hits[i : i + 50].sum()), float(len(hits[i : i + 50])), float(at[i : i + 50].sum())])
+            while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+                last = blocks.pop()
+                blocks[-1] = [x + y for x, y in zip(blocks[-1], last)]
+        model.margins, model.shares = np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
+    return model
 
 
 class Classifier:
@@ -229,10 +261,11 @@ class Classifier:
         return self._rows[at], np.array(starts)
 
     def per_text(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(language number or -1, confidence, letters, cosine at least) of every text.
+        """(language number or -1, margin, letters, nearness) of every text.
 
-        The cosine is bounded from below by the sum of the words' vector lengths; only where that is
-        under the limit, the vector is built to decide on rejection.
+        Nearness is the mean cosine of a text's words to the centroid, weighted by the lengths of their
+        vectors; unlike that of the whole text it doesn't grow with length, so one limit fits all. The
+        margin says by how much the next language is farther off.
         """
         if not texts:
             return (np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros(0))
@@ -247,13 +280,15 @@ class Classifier:
         top = score[np.arange(len(texts)), best]
         score[np.arange(len(texts)), best] = -1
         second = np.maximum(score.max(1), 0)
-        low = top / np.maximum(sums[:, self.k], 1e-9)
-        lang = np.where(top > 0, best, -1)
-        for i in np.flatnonzero((low < REJECT) & (top > 0)):
-            v = _unit_vector(textform.fold(texts[i]), self.model.idf)
-            cos = float((v @ (self.model.weights / np.maximum(self.model.idf, 1e-9)[:, None])).max())
-            low[i] = cos
-            if cos < REJECT:
-                lang[i] = -1
-        confidence = np.where(top > 0, (top - second) / np.maximum(top, 1e-9), 0.0)
-        return lang, np.clip(confidence, 0, 1), sums[:, self.k + 1], low
+        near = top / np.maximum(sums[:, self.k], 1e-9)
+        lang = np.where((top > 0) & (near >= self.model.limits[best]), best, -1)
+        margin = np.where(top > 0, (top - second) / np.maximum(top, 1e-9), 0.0)
+        return lang, np.clip(margin, 0, 1), sums[:, self.k + 1], near
+
+    def beyond_doubt(self, lang: str, near: float) -> bool:
+        """Whether a text is as near to ``lang`` as nearly all labelled sentences of it are."""
+        return near >= self.model.limits[LANGUAGES.index(lang)] * DOUBT_SHARE / REJECT_SHARE
+
+    def confidence(self, margin: float) -> float:
+        """The share of right answers among labelled sentences of such a margin."""
+        return float(np.interp(margin, self.model.margins, self.model.shares))

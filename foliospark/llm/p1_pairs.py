@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from foliospark.llm import langmodel, textform
 from foliospark.llm.p4_sentences import split_sentences
-from foliospark.llm.p9_language import SAMPLE, sample
+from foliospark.llm.p9_language import fitted
 from foliospark.operators.components import components
 from foliospark.session import cut_lineage
 from foliospark.sources.tables import table
@@ -388,8 +388,7 @@ def defects(tasks: DataFrame, outputs: DataFrame, model: langmodel.Model | None
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = langmodel.fit(sample(table(spark, sf_dir, "documents")), SAMPLE)
-    return defects(table(spark, sf_dir, "tasks"), table(spark, sf_dir, "outputs_openai"), model)
+    return defects(table(spark, sf_dir, "tasks"), table(spark, sf_dir, "outputs_openai"), fitted(table(spark, sf_dir, "documents")))
 
 
 SQL: dict[str, str] = {}

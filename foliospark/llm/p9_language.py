@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import pickle
 import re
 from collections import Counter
@@ -49,6 +50,22 @@ def sample(documents: DataFrame, per_language: int = SAMPLE, seed: int = SEED) -
     return [(langmodel.label_of(r["lang"]), r["text"]) for r in sorted(got, key=lambda r: r["doc_id"])]
 
 
+_FITTED: dict[tuple, langmodel.Model] = {}
+
+
+def fitted(documents: DataFrame) -> langmodel.Model:
+    """The model of a sample of ``documents``; fitted once for a session and a set of files."""
+    files = documents.inputFiles()
+    key = (documents.sparkSession.sparkContext.applicationId, hashlib.blake2b("\n".join(sorted(files)).encode()).digest())
+    if not files or key not in _FITTED:
+        model = langmodel.fit(sample(documents), SAMPLE)
+        if not files:
+            return model
+        _FITTED.clear()
+        _FITTED[key] = model
+    return _FITTED[key]
+
+
 class Languages:
     """Splits texts into parts of one language each."""
 
@@ -66,10 +83,10 @@ class Languages:
                 begun = c
         return bounds
 
-    def _parts(self, bounds: list[tuple[int, int]], lang: np.ndarray, conf: np.ndarray, letters: np.ndarray) -> list[tuple[int, int, int, int, float, float]]:
-        """(start, end, sentences, language, letters, confidence) of the stretches of one language, by whole sentences."""
+    def _parts(self, bounds: list[tuple[int, int]], lang: np.ndarray, conf: np.ndarray, letters: np.ndarray, near: np.ndarray) -> list[tuple]:
+        """(start, end, sentences, language, letters, margin, nearness) of the stretches of one language, by whole sentences."""
         out: list[list] = []
-        for (a, b), k, c, n in zip(bounds, lang.tolist(), conf.tolist(), letters.tolist()):
+        for (a, b), k, c, n, d in zip(bounds, lang.tolist(), conf.tolist(), letters.tolist(), near.tolist()):
             if n < LEAST_LETTERS or k < 0 or c < LEAST_SURE:
                 k = None
             if out and (k is None or out[-1][3] is None or out[-1][3] == k):
@@ -77,48 +94,50 @@ class Languages:
                 p[1] = b
                 p[2] += n >= LEAST_LETTERS
                 p[5] = (p[5] * p[4] + c * n) / max(p[4] + n, 1)
+                p[6] = (p[6] * p[4] + d * n) / max(p[4] + n, 1)
                 p[4] += n
                 p[3] = p[3] if p[3] is not None else k
             else:
-                out.append([a, b, int(n >= LEAST_LETTERS), k, n, c])
+                out.append([a, b, int(n >= LEAST_LETTERS), k, n, c, d])
         return [tuple(p) for p in out if p[3] is not None]
 
-    def of_batch(self, texts: list[str]) -> list[list[tuple[int, int, int, int, float, float]]]:
+    def of_batch(self, texts: list[str]) -> list[list[tuple]]:
         """The parts of every text: one for a text of one language. Every text is cut into whole sentences."""
         bounds = [self._bounds(t) for t in texts]
-        lang, conf, letters, _ = self.of.per_text([t[a:b] for t, bs in zip(texts, bounds) for a, b in bs])
+        lang, conf, letters, near = self.of.per_text([t[a:b] for t, bs in zip(texts, bounds) for a, b in bs])
         out = []
         at = 0
         for t, bs in zip(texts, bounds):
-            ks, ns, cs = lang[at : at + len(bs)], letters[at : at + len(bs)], conf[at : at + len(bs)]
+            ks, ns, cs, ds = (x[at : at + len(bs)] for x in (lang, letters, conf, near))
             at += len(bs)
             known = ks >= 0
             total = float(ns[known].sum())
-            if not total:
+            if not total or 2 * total < float(ns.sum()):  # most of it is near to none of the languages
                 out.append([])
                 continue
-            parts = self._parts(bs, ks, cs, ns)
+            parts = self._parts(bs, ks, cs, ns, ds)
             if len({p[3] for p in parts}) > 1:
                 out.append(parts)
             else:  # a text without any sure sentence is of the language of most letters
                 main = parts[0][3] if parts else int(np.argmax(np.bincount(ks[known], ns[known], len(langmodel.LANGUAGES))))
                 mine = known & (ks == main)
-                out.append([(0, len(t), len(bs), main, total, float((cs[mine] * ns[mine]).sum() / total))])
+                out.append([(0, len(t), len(bs), main, total, float((cs[mine] * ns[mine]).sum() / total), float((ds[mine] * ns[mine]).sum() / ns[mine].sum()))])
         return out
 
 
-def summary(parts: list[tuple[int, int, int, int, float, float]]) -> tuple[str | None, float, list[str]]:
-    """(main language, confidence, languages of a mixed text) of a text's parts."""
-    by, sure = Counter(), Counter()
-    for _, _, _, k, n, c in parts:
+def summary(parts: list[tuple]) -> tuple[str | None, float, float, list[str]]:
+    """(main language, margin, nearness, languages of a mixed text) of a text's parts."""
+    by, sure, near = Counter(), Counter(), Counter()
+    for _, _, _, k, n, c, d in parts:
         by[k] += n
         sure[k] += c * n
+        near[k] += d * n
     if not by:
-        return None, 0.0, []
+        return None, 0.0, 0.0, []
     main = max(by, key=lambda k: (by[k], -k))
-    others = sorted({k for _, _, s, k, n, _ in parts if k != main and s >= LEAST_SENTENCES})
+    others = sorted({p[3] for p in parts if p[3] != main and p[2] >= LEAST_SENTENCES})
     name = langmodel.LANGUAGES
-    return name[main], sure[main] / sum(by.values()), [name[main], *[name[k] for k in others]] if others else []
+    return name[main], sure[main] / sum(by.values()), near[main] / max(by[main], 1), [name[main], *[name[k] for k in others]] if others else []
 
 
 @functools.lru_cache(2)
@@ -127,7 +146,7 @@ def _languages(model: bytes) -> Languages:
 
 
 def _with_model(documents: DataFrame, columns: list[str], rows_of, schema: str, names: list[str], types: list, model: langmodel.Model | None) -> DataFrame:
-    model = model or langmodel.fit(sample(documents), SAMPLE)
+    model = model or fitted(documents)
     shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +164,14 @@ def _with_model(documents: DataFrame, columns: list[str], rows_of, schema: str,
 def _problems(languages: Languages, ids, texts, labels):
     keep = [i for i, t in enumerate(texts) if t]
     for i, parts in zip(keep, languages.of_batch([texts[i] for i in keep])):
-        main, sure, mixed = summary(parts)
+        main, sure, near, mixed = summary(parts)
         if main is None:
             continue
         label = langmodel.label_of(labels[i])
+        sure = languages.of.confidence(sure)
         if label is None:
             yield ids[i], "missing", main, sure
-        elif label != main:
+        elif label != main and (label in langmodel.LANGUAGES or languages.of.beyond_doubt(main, near)):
             yield ids[i], "wrong", main, sure
         for k in mixed:
             yield ids[i], "mixed", k, sure
@@ -160,7 +180,8 @@ def _problems(languages: Languages, ids, texts, labels):
 def label_problems(documents: DataFrame, model: langmodel.Model | None = None) -> DataFrame:
     """(doc_id, problem, lang, confidence) of labels that are missing or wrong, and of mixed texts.
 
-    Null, empty and wordless texts, and texts that are near to none of the languages, give no row.
+    Null, empty and wordless texts, and texts of which most is near to none of the languages, give no row. A
+    label that names a language that isn't known here is wrong only where the text is as near to a known one as its own texts are.
     The corpus isn't shuffled; the model, of a fixed size, is broadcast.
     """
     kinds = [pa.int64(), pa.string(), pa.string(), pa.float64()]
@@ -170,12 +191,16 @@ def label_problems(documents: DataFrame, model: langmodel.Model | None = None) -
 
 def _segments(languages: Languages, ids, texts):
     for i, t in zip(ids, texts):
-        for n, (a, b, _, k, letters, c) in enumerate(languages.of_batch([t])[0] if t else [], 1):
-            yield i, n, a, b, langmodel.LANGUAGES[k], c
+        for n, (a, b, _, k, _, c, _) in enumerate(languages.of_batch([t])[0] if t else [], 1):
+            yield i, n, a, b, langmodel.LANGUAGES[k], languages.of.confidence(c)
 
 
 def language_parts(documents: DataFrame, model: langmodel.Model | None = None) -> DataFrame:
-    """(doc_id, part_no, start_pos, end_pos, lang, confidence): the language of every document, part by part."""
+    """(doc_id, part_no, start_pos, end_pos, lang, confidence): the language of every document, part by part.
+
+    Confidence is the share of right answers among labelled sentences of such a margin. Null, empty and
+    wordless texts, and those of which most is near to none of the languages, give no row.
+    """
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
     names = ["doc_id", "part_no", "start_pos", "end_pos", "lang", "confidence"]
     docs = documents.withColumn("doc_id", F.col("doc_id").cast("long"))

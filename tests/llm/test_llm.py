@@ -429,6 +429,30 @@ def test_short_sentences_of_another_language_in_a_row(spark):
     assert parts == [(1, 1, "en"), (1, 2, "zh"), (1, 3, "en"), (2, 1, "en")]
 
 
+FOREIGN = {
+    "pl": "Próbki zmierzono w kolumnie w wysokiej temperaturze. Konwersja była niższa niż oczekiwano, ponieważ żywica pęcznieje. Wielokrotnie powtarzaliśmy filtrację przez membranę.",
+    "sv": "Proverna mättes i kolonnen vid hög temperatur. Omsättningen var lägre än väntat eftersom hartset sväller. Vi har upprepat filtreringen många gånger.",
+    "da": "Prøverne blev målt i kolonnen ved høj temperatur. Omsætningen var lavere end forventet, fordi harpiksen svulmer op. Vi har gentaget filtreringen mange gange.",
+    "el": "Τα δείγματα μετρήθηκαν στη στήλη σε υψηλή θερμοκρασία. Η μετατροπή ήταν χαμηλότερη από το αναμενόμενο επειδή η ρητίνη διογκώνεται.",
+    "ca": "Les mostres es van mesurar a la columna a alta temperatura. La conversió va ser inferior a l'esperada perquè la resina s'infla.",
+    "uk": "Зразки вимірювали в колоні за високої температури. Конверсія була нижчою за очікувану, оскільки смола набухає. Ми багаторазово повторювали фільтрацію.",
+}
+
+
+def test_texts_in_none_of_the_languages(spark):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["lang", "text"]).slice(0, 6000).to_pylist()
+    model = langmodel.fit([(langmodel.label_of(r["lang"]), r["text"]) for r in t if r["text"]], 150)
+    rows = [(i, x, k) for i, (k, x) in enumerate(FOREIGN.items())] + [(90, "qwrtp zxcvb lkjhg mnbvc trwqp hjklm vbnxz. Plkmn bvcxz qwsdf ghjkl rtyzx cvbnm.", None), (91, ENGLISH, "pl"), (92, GERMAN, "sv")]
+    rows += [(100 + i, FOREIGN[k], None) for i, k in enumerate(("pl", "sv", "da", "el"))]
+    got = {tuple(r)[:3] for r in p9_language.label_problems(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    assert got == {(91, "wrong", "en"), (92, "wrong", "de")}
+    parts = p9_language.language_parts(spark.createDataFrame([(1, ENGLISH, None)], "doc_id long, text string, lang string"), model).collect()
+    assert len(parts) == 1 and 0.9 < parts[0]["confidence"] <= 1
+    assert (model.shares[1:] >= model.shares[:-1]).all()
+
+
 def test_held_out_accuracy(spark):
     import pyarrow.parquet as pq
 
