@@ -49,3 +49,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the checkpoint files of frames that nothing reads any more; frames without a checkpoint are left alone."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        if plan.getClass().getSimpleName() != "LogicalRDD":
+            continue
+        at = plan.rdd().getCheckpointFile()
+        if at.isDefined():
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

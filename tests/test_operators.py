@@ -270,3 +270,26 @@ def test_resumed_stream(spark, tmp_path):
         q = resume.run_resumed(resume.task_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "log"), str(tmp_path / "cp"), lambda d: d)
         q.awaitTermination(60)
     assert sorted(r["variant_id"] for r in spark.read.parquet(str(tmp_path / "log")).collect()) == ["a", "b", "c"]
+
+
+def test_spanning_forest_connects_what_the_edges_connect(spark):
+    from foliospark.operators.components import spanning_forest
+
+    rng = random.Random(4)
+    edges = [(f"{rng.randint(0, 80):03}", f"{rng.randint(0, 80):03}") for _ in range(60)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(50)]
+    labels, forest = spanning_forest(spark.createDataFrame(edges + edges[:5] + [("x", None)], "a string, b string"))
+    root, chosen = {r["node"]: r["root"] for r in labels.collect()}, [tuple(r) for r in forest.collect()]
+
+    def groups(pairs):
+        of = {}
+        for a, b in pairs:
+            if a != b:
+                merged = of.get(a, {a}) | of.get(b, {b})
+                of.update(dict.fromkeys(merged, merged))
+        return {frozenset(g) for g in of.values()}
+
+    assert groups(chosen) == groups(edges)
+    assert set(chosen) <= {tuple(sorted(e)) for e in edges} and len(chosen) == len(set(chosen)) == len(root) - len(set(root.values()))
+    assert {frozenset(n for n in root if root[n] == r) for r in root.values()} == groups(edges)
+    empty, none = spanning_forest(spark.createDataFrame([("x", "x")], "a string, b string"))
+    assert empty.count() == 0 and none.count() == 0
