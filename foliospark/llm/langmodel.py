@@ -130,47 +130,59 @@ def fit(labelled: list[tuple[str, str]], per_language: int = 400) -> Model:
     for lang, seed in SEED_TEXTS.items():
         texts[lang].append(seed)
     hashes = _Hashes()
+    of_chunk: dict[str, list[int]] = {}  # hashed n-grams of a run without blanks; the texts are a bounded sample
     counted: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     df = np.zeros(FEATURES)
     for lang, ts in texts.items():
         counted[lang] = []
         for t in ts:
-            at, n = np.unique([hashes[g] for g in grams(textform.fold(t.lower().replace("[formula]", " ")))], return_counts=True)
-            at = at.astype(int)
+            found: list[int] = []
+            for chunk in t.lower().replace("[formula]", " ").split():
+                hs = of_chunk.get(chunk)
+                if hs is None:
+                    hs = of_chunk[chunk] = [hashes[g] for g in grams(textform.fold(chunk))]
+                found += hs
+            n = np.bincount(found, minlength=FEATURES) if found else np.zeros(FEATURES, int)
+            at = np.flatnonzero(n)
             df[at] += 1
-            counted[lang].append((at, n))
+            counted[lang].append((at, n[at]))
     idf = np.log((1 + sum(map(len, texts.values()))) / (1 + df)).astype(np.float32)
+    # Vectors stay sparse: (features, unit weights) per text.
     vectors = {}
     for lang, cs in counted.items():
-        v = vectors[lang] = np.zeros((len(cs), FEATURES), np.float32)
-        for i, (at, n) in enumerate(cs):
-            v[i, at] = n * idf[at]
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        ws = [n * idf[at] for at, n in cs]
+        vectors[lang] = [(at, w / max(float(np.linalg.norm(w)), 1e-9)) for (at, _), w in zip(cs, ws)]
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        return m / max(float(np.linalg.norm(m)), 1e-9)
+    def centre(vs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        c = np.zeros(FEATURES)
+        for at, w in vs:
+            c[at] += w
+        return c / max(float(np.linalg.norm(c)), 1e-9)
+
+    def nearness(vs: list[tuple[np.ndarray, np.ndarray]], centres: list[np.ndarray]) -> np.ndarray:
+        m = np.stack(centres)
+        return np.stack([m[:, at] @ w for at, w in vs])
 
     first = {}
     for k, v in vectors.items():  # the median-like centre: a mean of the texts nearest to the plain mean
-        c = unit(v.mean(0))
-        near = v @ c
-        first[k] = unit(v[near >= np.median(near)].mean(0) + 0.2 * v[-1])
+        near = nearness(v, [centre(v)])[:, 0]
+        inner = [x for x, d in zip(v, near) if d >= np.median(near)]
+        first[k] = centre([*inner, (v[-1][0], 0.2 * len(inner) * v[-1][1])])
     names = list(vectors)
-    base = np.stack([first[k] for k in names])
+    base = [first[k] for k in names]
     columns, owner = [], []
     kept: list[tuple[str, str]] = []
     for k in names:
         v = vectors[k]
-        right = np.argmax(v @ base.T, 1) == names.index(k)
+        right = np.argmax(nearness(v, base), 1) == names.index(k)
         kept += [(k, t) for t, ok in zip(texts[k][:-1], right) if ok]
-        own = v[right]
-        own = own if len(own) else v[-1:]
-        centres = [unit(own.mean(0))]
+        own = [x for x, ok in zip(v, right) if ok] or v[-1:]
+        centres = [centre(own)]
         while len(centres) < min(CENTROIDS, len(own)):
-            centres.append(own[np.argmin(np.max(own @ np.stack(centres).T, 1))])
+            centres.append(centre([own[int(np.argmin(np.max(nearness(own, centres), 1)))]]))
         for _ in range(8):
-            at = np.argmax(own @ np.stack(centres).T, 1)
-            centres = [unit(own[at == i].mean(0)) if (at == i).any() else c for i, c in enumerate(centres)]
+            at = np.argmax(nearness(own, centres), 1)
+            centres = [centre([x for x, j in zip(own, at) if j == i]) if (at == i).any() else c for i, c in enumerate(centres)]
         columns += centres
         owner += [LANGUAGES.index(k)] * len(centres)
     weights = np.stack(columns).T * idf[:, None]

@@ -307,36 +307,32 @@ def clusters(texts: DataFrame) -> DataFrame:
     """(text, cluster): the connected classes of distinct texts that share 0.8 of their five-word shingles, named by their smallest text.
 
     Candidates share a band of their MinHash signatures; every link is verified. In a band every text is
-    verified against the band's smallest and greatest text, so links grow with the texts, not with
-    their pairs. Where a band still holds several classes, texts of different classes that share one of
-    the shingles by which such a pair must meet (the smallest fifth of each text's shingles in one
-    order, an exact condition) are verified too. A text without a link is a class of its own. Null texts
+    verified against the band's smallest text, so links grow with the texts, not with their pairs. The
+    texts of a band that aren't like its smallest one are verified with all those of the band with which
+    they share one of the shingles by which such a pair must meet (the smallest fifth of each text's
+    shingles in one order, an exact condition). A text without a link is a class of its own. Null texts
     are left out, repeated ones count once, an empty table gives no rows.
     """
     one = cut_lineage(texts.where("text IS NOT NULL").select("text").distinct().withColumn("id", F.unhex(F.md5("text"))))
     banded = one.select("id", F.explode(_bands("text")).alias("band"))
-    ends = banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
+    ends = banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("band", "least")
     crowded = cut_lineage(banded.join(ends, "band"))
-    near = crowded.select("id", F.explode(F.array("least", "most")).alias("other")).where("id <> other")
     named = lambda x: one.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(named("a"), "a").join(named("b"), "b").where(_alike("text_a", "text_b")).select("a", "b")
+        return cut_lineage(pairs.distinct().join(named("a"), "a").join(named("b"), "b").where(_alike("text_a", "text_b")).select("a", "b"))
 
-    links = cut_lineage(verified(near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))))
-    comp = components(links)
-    owned = crowded.join(comp, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("class"))
-    mixed = owned.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band")
-    rest = owned.join(mixed, "band").join(one, "id")
+    links = verified(crowded.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")))
+    known = links.select(F.col("a").alias("least"), F.col("b").alias("id"), F.lit(True).alias("like"))
+    state = crowded.join(known, ["least", "id"], "left").withColumn("apart", F.col("like").isNull() & (F.col("id") != F.col("least")))
+    mixed = state.where("apart").select("band").distinct()
     # Two texts of at least 0.8 share one of the first n - ceil(0.8 n) + 1 of their n shingles in any order.
     hashed = F.array_sort(F.transform(_shingled("text"), lambda x: F.xxhash64(x)))
-    keyed = rest.select("band", "id", "class", hashed.alias("h")).select("band", "id", "class", F.explode(F.expr(f"slice(h, 1, size(h) - cast(ceil(round({SIMILAR} * size(h), 9)) as int) + 1)")).alias("h"))
-    keyed = cut_lineage(keyed)
-    other = keyed.select("band", "h", F.col("id").alias("other"), F.col("class").alias("of_other"))
-    across = keyed.join(other, ["band", "h"]).where("class < of_other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    more = cut_lineage(verified(across))
-    if not more.isEmpty():
-        comp = components(links.unionByName(more))
+    first = F.expr(f"slice(h, 1, size(h) - cast(ceil(round({SIMILAR} * size(h), 9)) as int) + 1)")
+    keyed = cut_lineage(state.join(mixed, "band").join(one, "id").select("band", "id", "apart", hashed.alias("h")).select("band", "id", "apart", F.explode(first).alias("h")))
+    other = keyed.select("band", "h", F.col("id").alias("other"), F.col("apart").alias("other_apart"))
+    across = keyed.where("apart").join(other, ["band", "h"]).where("id < other OR (id > other AND NOT other_apart)").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    comp = components(links.unionByName(verified(across)))
     linked = one.join(comp, F.col("id") == F.col("node"))
     named = linked.groupBy("component").agg(F.min("text").alias("cluster"))
     return one.join(comp, F.col("id") == F.col("node"), "left").join(named, "component", "left").select("text", F.coalesce("cluster", "text").alias("cluster"))

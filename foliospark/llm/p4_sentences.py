@@ -104,9 +104,9 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 _MARKS_OF = {w: tuple(k for k in _HINT_OF if w in _HINT_OF[k]) for k in _HINT_OF for w in _HINT_OF[k]}
 _SCRIPTS = {"th": "[\u0e00-\u0e7f]", "ko": "[\uac00-\ud7af\u1100-\u11ff]", "ja": "[\u3040-\u30ff]", "zh": "[\u4e00-\u9fff]", "hi": "[\u0900-\u097f]"}
-_ANY_SCRIPT = re.compile("|".join(f"(?P<{k}>{c})" for k, c in _SCRIPTS.items()))
+_ANY_SCRIPT = re.compile("[" + "".join(c[1:-1] for c in _SCRIPTS.values()) + "]")
 _HAS = {k: re.compile(c).search for k, c in _SCRIPTS.items()}
-_ALPHABETS = (("ru", re.compile("[\u0400-\u04ff]"), "а", "я"), ("el", re.compile("[\u0370-\u03ff]"), "ά", "ώ"))
+_ALPHABETS = (("ru", re.compile("[\u0400-\u04ff]+"), "а", "я"), ("el", re.compile("[\u0370-\u03ff]+"), "ά", "ώ"))
 
 
 def languages_of(text: str) -> tuple[str, str]:
@@ -123,7 +123,7 @@ def languages_of(text: str) -> tuple[str, str]:
     low = text.lower()
     if not text.isascii():
         for k, letters, first, last in _ALPHABETS:
-            if letters.search(text):
+            if 8 * sum(map(len, letters.findall(text))) > len(text):
                 words = _WORDS.findall(low)
                 if sum(1 for w in words if first <= w[0] <= last) * 2 > len(words):
                     return own, k
@@ -134,19 +134,32 @@ def languages_of(text: str) -> tuple[str, str]:
     return own, max(hits, key=lambda k: (hits[k], k == "en"))
 
 
+# What the last three characters before a position must be for the pattern before it to match at all. It spares the
+# search and decides nothing; patterns that aren't listed are always tried.
+_STOPS, _QUOTES = ".!?…。！？｡", "\"'”’»“"
+_CAN = {
+    r"\n\Z": lambda c: c[-1:] == "\n",
+    r"\n[ \t]*\n\Z": lambda c: c[-1:] == "\n",
+    r"(?:^|\n)\s*(?:[>*#-]\s*)*(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)]$": lambda c: c[-1:] in ".)" and not (len(c) == 3 and c[0].isalpha() and c[1].isalpha() and not set(c[:2]) <= set("ivx")),
+    r"\d\.$": lambda c: c[-1:] == "." and c[-2:-1].isdigit(),
+    r"[.!?…]+[\"'”’»“]+$": lambda c: c[-1:] in _QUOTES,
+    r"[.!?…]+\s?[\"'”’»“]+$": lambda c: c[-1:] in _QUOTES,
+    r"।$": lambda c: c[-1:] == "।",
+    r"[॥؟۔։።။][)\]\"'”’»]*$": lambda c: c[-1:] not in _STOPS and not c[-1:].isspace(),
+    r"[가-힣ᄀ-ᇿ]\.$": lambda c: c[-1:] == "." and c[-2:-1] >= "\u1100",
+    r"[^\W\d_]{2,}[)\]]?\.$": lambda c: c[-1:] == ".",
+    r"[!?]$": lambda c: c[-1:] in "!?",
+    r"[.!?…]$": lambda c: c[-1:] in ".!?…",
+    rf"(?:^|[\s(\[.\-])(?<!\d\s)(?<!\d\s\s)[A-ZÀ-ÞĀ-Ž]\.$": lambda c: c[-1:] == "." and c[-2:-1].isalpha() and not (len(c) == 3 and c[0].isalnum()),
+}
+
+
 class Rule:
-    """A rule ready to run. ``fits`` tells from the last two characters before a position whether its first pattern can
-    match at all; it spares the search and decides nothing."""
+    """A rule ready to run."""
 
     def __init__(self, ends: bool, before: re.Pattern, after: re.Pattern):
         self.ends, self.before, self.after = ends, before.search, after.match
-        self.pattern = before.pattern
-        # Patterns that end in a fixed sign: what the last character must be.
-        tail = re.search(r"(\\n|\\\.)(?:\\Z|\$)$", self.pattern)
-        self.last = {"\\n": "\n", "\\.": "."}[tail[1]] if tail else "।" if self.pattern == "।$" else None
-
-    def fits(self, c1: str, c2: str) -> bool:
-        return self.last is None or c1 == self.last
+        self.fits = _CAN.get(before.pattern, lambda chars: True)
 
 
 class AbbreviationRule(Rule):
@@ -154,13 +167,16 @@ class AbbreviationRule(Rule):
 
     def __init__(self, ends: bool, before: re.Pattern, after: re.Pattern, words: str):
         super().__init__(ends, before, after)
-        self.ends_in = set()
+        ends_in = set()
         for w in words.split():
             last = w.lower().split(".")[-1]
-            self.ends_in.add(last[-2:] if len(last) > 1 else "_" + last)
+            ends_in.add(last[-2:] if len(last) > 1 else "_" + last)
+
+        def fits(chars: str) -> bool:
+            c = chars[:-1].lower()
+            return chars[-1:] == "." and (c in ends_in or "_" + c[-1:] in ends_in and not (c[:1].isalpha() and len(c) > 1 and c[0] < "\u3000"))
 
-    def fits(self, c1: str, c2: str) -> bool:
-        return c1 == "." and (c2 in self.ends_in or "_" + c2[-1:] in self.ends_in and not (c2[:1].isalpha() and c2[0] < "\u3000"))
+        self.fits = fits
 
 
 def cascade(*langs: str) -> list[Rule]:
@@ -188,8 +204,7 @@ class Table:
         if got is None:
             if len(self._by) > 50_000:
                 self._by.clear()
-            c2 = chars[:-1].lower()
-            got = self._by[chars] = [(r.ends, r.before, r.after) for r in self.rules if r.fits(chars[-1:], c2)]
+            got = self._by[chars] = [(r.ends, r.before, r.after) for r in self.rules if r.fits(chars)]
         return got
 
 

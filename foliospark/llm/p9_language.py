@@ -27,6 +27,7 @@ SEED = 20260109
 #: Letters and confidence that a stretch needs for a language of its own; whole sentences in a row that make a text mixed.
 LEAST_LETTERS, LEAST_SURE, LEAST_SENTENCES = 12, 0.06, 2
 
+_THAI = re.compile("[\u0e00-\u0e7f]")
 _TURN = re.compile(r"(?<=[฀-๿])\s+(?=[A-Z][a-z]+ [a-z]+)|(?<=[a-z.]) (?=[฀-๿]{4})")  # between Thai and Latin sentences
 
 
@@ -76,6 +77,11 @@ class Languages:
         """(start, end) of the sentences, cut where Thai and Latin ones meet."""
         bounds = []
         begun = 0
+        if not _THAI.search(text):
+            for e in sentence_ends(text):
+                bounds.append((begun, e))
+                begun = e
+            return bounds
         for e in sentence_ends(text):
             cuts = [m.start() + begun for m in _TURN.finditer(text[begun:e])]
             for c in [*cuts, e]:
