@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import patterns as P
 from foliospark.functions import text as X
-from foliospark.functions.python import local_name, numbered_children
+from foliospark.functions.python import Located, plain_name
 
 _FORMULAS = ("inline-formula", "disp-formula", "math")
 _SET_APART = ("table-wrap", "fig", "list")
@@ -30,7 +30,7 @@ def running_text(el: ET.Element) -> str:
         if node is None:
             out.append(tail or "")
             continue
-        name = local_name(node.tag)
+        name = plain_name(node)
         if node is not el:
             stack.append((None, node.tail))
         if name in _FORMULAS:
@@ -51,34 +51,36 @@ def _opens_back_matter(title: str) -> bool:
 class _Reader:
     """Collects (kind, text, section, loc) in document order."""
 
-    def __init__(self) -> None:
+    def __init__(self, content: str) -> None:
         self.rows: list[tuple[str, str, str, str]] = []
+        self.doc = Located(content)
+        self.article()
 
     def put(self, kind: str, text: str, section: str, loc: str) -> None:
         if text:
             self.rows.append((kind, text, section, loc))
 
-    def article(self, root: ET.Element) -> None:
-        for el, name, path in numbered_children(root, ""):
+    def article(self) -> None:
+        for el, name, _ in self.doc.children(self.doc.root):
             if name == "front":
-                self.front(el, path)
+                self.front(el)
             elif name == "body":
-                self.section(el, path, "", "body")
+                self.section(el, "", "body")
             elif name == "back":
-                for c, n, p in numbered_children(el, path):
+                for c, n, _ in self.doc.children(el):
                     if n == "ref-list":
-                        self.references(c, p)
+                        self.references(c)
 
-    def front(self, el: ET.Element, path: str, inside: bool = False) -> None:
-        for c, name, p in numbered_children(el, path):
+    def front(self, el: ET.Element, inside: bool = False) -> None:
+        for c, name, p in self.doc.children(el):
             chosen = inside or name == "abstract" and c.get("abstract-type") in (None, "", "abstract")
             if name == "p" and inside:
                 self.put("body", running_text(c), "Abstract", p)
             if name != "abstract" or chosen:
-                self.front(c, p, chosen)
+                self.front(c, chosen)
 
-    def section(self, el: ET.Element, path: str, title: str, kind: str) -> None:
-        for c, name, p in numbered_children(el, path):
+    def section(self, el: ET.Element, title: str, kind: str) -> None:
+        for c, name, p in self.doc.children(el):
             match name:
                 case "title":
                     title = running_text(c)
@@ -87,9 +89,9 @@ class _Reader:
                         kind = "back_matter"
                 case "p" | "disp-quote":
                     self.put(kind, running_text(c), title, p)
-                    self.inner(c, p, title)
+                    self.inner(c, title)
                 case "list" | "def-list":
-                    for item, _, q in numbered_children(c, p):
+                    for item, _, q in self.doc.children(c):
                         self.put(kind, running_text(item), title, q)
                 case "disp-formula":
                     self.put("formula", P.PLACEHOLDER, title, p)
@@ -98,24 +100,24 @@ class _Reader:
                 case "fig":
                     self.put("caption", running_text(c), title, p)
                 case "ref-list":
-                    self.references(c, p)
+                    self.references(c)
                 case "sec":
                     back = kind == "back_matter" or c.get("sec-type") in P.BACK_SECTION_TYPES
-                    self.section(c, p, title, "back_matter" if back else "body")
+                    self.section(c, title, "back_matter" if back else "body")
 
-    def inner(self, el: ET.Element, path: str, title: str) -> None:
-        for c, name, p in numbered_children(el, path):
+    def inner(self, el: ET.Element, title: str) -> None:
+        for c, name, p in self.doc.children(el):
             if name in ("table-wrap", "fig"):
                 self.put("table" if name == "table-wrap" else "caption", running_text(c), title, p)
             elif name == "list":
-                for item, n, q in numbered_children(c, p):
+                for item, n, q in self.doc.children(c):
                     if n == "list-item":
                         self.put("body", running_text(item), title, q)
             else:
-                self.inner(c, p, title)
+                self.inner(c, title)
 
-    def references(self, el: ET.Element, path: str) -> None:
-        for c, name, p in numbered_children(el, path):
+    def references(self, el: ET.Element) -> None:
+        for c, name, p in self.doc.children(el):
             if name == "ref":
                 self.put("reference", running_text(c), "References", p)
 
@@ -128,9 +130,8 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for doc, content in zip(b["doc_id"], b["content"]):
-            reader = _Reader()
             try:
-                reader.article(ET.fromstring(content or ""))
+                reader = _Reader(content or "")
             except ET.ParseError as e:
                 out.append((doc, None, None, None, None, None, None, e.position[0]))
                 continue
