@@ -32,34 +32,34 @@ _KINDS = {
     "entity": r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});",
     "fence": r"(?m:^[ \t>]*(?:```|~~~)[\w+-]*[ \t]*$)",
     "code": r"(?P<ticks>`{1,2})(?=[^`\n])[^`\n]*[^`\n](?P=ticks)(?!`)|`[^`\n]`",
-    "display": r"\$\$(?:[^$]{1,400})\$\$",
-    "math": r"\$(?![\s$\d])[^$\n]{1,120}(?<![\s\\])\$(?!\d)|\$(?![\s$])\d[^$\n]{0,60}[\\^_=][^$\n]{0,60}(?<![\s\\])\$(?!\d)|\\\((?:.{1,200}?)\\\)|\\\[(?:.{1,400}?)\\\]",
+    "display": r"\$\$[^$]+\$\$",
+    "math": r"\$(?![\s$\d])[^$\n]+(?<![\s\\])\$(?!\d)|\$(?![\s$])\d[^$\n]*[\\^_=][^$\n]*(?<![\s\\])\$(?!\d)|\\\((?:.+?)\\\)|\\\[(?:.+?)\\\]",
     "money": r"\$\d[\d.,]*",
-    "dollars": r"\$[^$\n]{1,120}\$",
-    "environment": r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})*",
-    "command": r"~?\\[A-Za-z]+\*?(?:\[[^\]\n]*\])*(?:\{(?:[^{}\n]|\{[^{}\n]*\})*\})*|\{\\[a-z]+\b",
+    "dollars": r"\$[^$\n]+\$",
+    "environment": r"\\(?:begin|end)\{[A-Za-z]+\*?\}",
+    "command": r"~?\\[A-Za-z]+\*?|\{\\[a-z]+\b",
     "escape": r"\\[,;:!%&_#{}$()\[\]]",
     "wikitable": r"(?m:^[ \t]*(?:\{\|.*|\|\}|\|-.*|\|\+.*|\|[^|\n]*(?:\|\|[^|\n]*)+|![^!\n]*(?:!![^!\n]*)+|![ \t]\S[^\n]*)$)",
-    "template": r"\{\{[^{}\n]{1,200}\}\}",
-    "wikilink": r"\[\[[^\[\]\n]{1,200}\]\]|\[https?://[^\s\]]+ [^\]\n]+\]",
+    "template": r"\{\{",
+    "wikilink": r"\[\[|\[https?://[^\s\]]+ [^\]\n]+\]",
     "quotes": r"'{2,5}",
     "wikihead": r"(?m:^[ \t]*(?P<heads>={1,6})[ \t]*[^=\n]+?[ \t]*(?P=heads)[ \t]*$)",
     "wikiindent": r"(?m:^:{1,4}[ \t]*(?=\S))",
     "switch": r"__[A-Z]{3,}__",
     "row": r"(?m:^[ \t]*\|[^\n]*\|[ \t]*$)",
     "image": r"!\[[^\]\n]*\]\([^)\s]*(?:\s\"[^\"]*\")?\)",
-    "link": r"\[[^\[\]\n]{1,160}\]\((?:https?:|#|/|\.|mailto:|\w+[./])[^)\s]*(?:\s\"[^\"]*\")?\)|\[[^\[\]\n]{1,160}\]\[[^\[\]\n]{0,60}\]|<https?://[^\s<>]+>",
-    "footnote": r"\[\^[\w-]{1,20}\]:?",
-    "refline": r"(?m:^[ \t]*\[[^\]\n]{1,60}\]:[ \t]+\S+)",
+    "link": r"\[[^\[\]\n]+\]\((?:https?:|#|/|\.|mailto:|\w+[./])[^)\s]*(?:\s\"[^\"]*\")?\)|\[[^\[\]\n]+\]\[[^\[\]\n]*\]|<https?://[^\s<>]+>",
+    "footnote": r"\[\^[\w-]+\]:?",
+    "refline": r"(?m:^[ \t]*\[[^\]\n]+\]:[ \t]+\S+)",
     "setext": r"(?m:^[ \t]*(?:={3,}|-{3,}|\*{3,})[ \t]*$)",
     "hash": r"(?m:^[ \t]*#{1,6}[ \t]+(?=\S))",
     "quote": r"(?m:^[ \t]*>+[ \t]+(?=\S))",
     "bullet": r"(?m:^[ \t]*[*+-][ \t]+(?=\S))",
-    "strong": r"(?P<stars>\*{1,3})(?=[^\s*])[^*\n]{0,200}?(?<=[^\s*])(?P=stars)(?![*\d])",
-    "under": r"(?<![\w\\])(?P<lines>__?)(?=[^\s_])[^_\n]{0,200}?(?<=[^\s_])(?P=lines)(?!\w)",
-    "strike": r"~~(?=\S)[^~\n]{0,200}?(?<=\S)~~",
-    "raised": r"(?<=[\w)])~[^~\s]{1,12}~|(?<=[\w)])\^[^\^\s]{1,12}\^",
-    "braced": r"[_^]\{[^{}\n]{1,20}\}",
+    "strong": r"(?P<stars>\*{1,3})(?=[^\s*])[^*\n]*?(?<=[^\s*])(?P=stars)(?![*\d])",
+    "under": r"(?<![\w\\])(?P<lines>__?)(?=[^\s_])[^_\n]*?(?<=[^\s_])(?P=lines)(?!\w)",
+    "strike": r"~~(?=\S)[^~\n]*?(?<=\S)~~",
+    "raised": r"(?<=[\w)])~[^~\s]+~|(?<=[\w)])\^[^\^\s]+\^",
+    "braced": r"[_^]\{[^{}\n]+\}",
     "cite": r"\[\d{1,4}(?:\s*[,–-]\s*\d{1,4})*\]|\[FORMULA\]",
     "bar": r"\|[^|\n]{1,12}\|",
     "facet": r"\{[\d\s-]+\}",
@@ -72,19 +72,63 @@ _KINDS = {
 _LEAF = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()), re.DOTALL)
 #: What a text must hold to be looked at: a superset of what the field was shown as markup.
 SUSPECT = (
-    r"(?m:^[ \t]+[*+>|=#:`~!-])|(?=[<&*_`~'\[\]{|$\\=^#>:+-])(?:</?[A-Za-z!?]|&#?[0-9A-Za-z]{2,31};|&#[0-9];|\*{1,3}(?=[^\s\d*])|\*\d[^*\n]{0,200}(?<=[^\s*])\*(?!\d)|`|~~|~\S{1,12}~|~\\|''|\[\[|\[https?:|\]\(|\]\[|\[\^|\]:|\{\||\|\}|\{\{|\|\||\|:?-|"
-    r"\$\$|\$(?=[^\s\d])|\$[^$\n]*[\\_^=][^$\n]*\$|\$[^$\n]{1,120}\$|\\[A-Za-z(\[,;:!%&_#{}$]|\{\\|[_^]\{|\^\S{1,12}\^|__[^\s_]|(?m:^[ \t]*(?:[*+>-]|#{1,6}|:{1,4})[ \t]+\S)|(?m:^:{1,4}\S)|(?m:^[ \t]*={1,6}[^=\n]+=)|(?m:^[ \t]*(?:={3,}|-{3,}|\*{3,})[ \t]*$)|(?m:^[ \t]*\|)|(?<![\w\\])_(?=[^\s_]))"
+    r"(?m:^[ \t]+[*+>|=#:`~!-])|(?=[<&*_`~'\[\]{|$\\=^#>:+-])(?:</?[A-Za-z!?]|&#?[0-9A-Za-z]{2,31};|&#[0-9];|\*{1,3}(?=[^\s\d*])|\*\d[^*\n]*(?<=[^\s*])\*(?!\d)|`|~~|~\S+~|~\\|''|\[\[|\[https?:|\]\(|\]\[|\[\^|\]:|\{\||\|\}|\{\{|\|\||\|:?-|"
+    r"\$\$|\$(?=[^\s\d])|\$[^$\n]*[\\_^=][^$\n]*\$|\$[^$\n]+\$|\\[A-Za-z(\[,;:!%&_#{}$]|\{\\|[_^]\{|\^\S+\^|__[^\s_]|(?m:^[ \t]*(?:[*+>-]|#{1,6}|:{1,4})[ \t]+\S)|(?m:^:{1,4}\S)|(?m:^[ \t]*={1,6}[^=\n]+=)|(?m:^[ \t]*(?:={3,}|-{3,}|\*{3,})[ \t]*$)|(?m:^[ \t]*\|)|(?<![\w\\])_(?=[^\s_]))"
 )
 
 
+_PAIRS = {"{{": "}}", "[[": "]]", "{": "}"}
+_DOUBLE = re.compile(r"\{\{|\}\}|\[\[|\]\]")
+_SINGLE = re.compile(r"\\.|[{}]", re.DOTALL)
+
+
+def _closed(text: str, signs: re.Pattern) -> dict[int, int]:
+    """Where brackets that open at a position are closed again (behind the closing one), by one pass with a stack."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    for m in signs.finditer(text):
+        sign = m[0]
+        if sign in _PAIRS:
+            stack.append((_PAIRS[sign], m.start()))
+        elif any(want == sign for want, _ in stack[-4:]):
+            while stack:
+                want, at = stack.pop()
+                if want == sign:
+                    out[at] = m.end()
+                    break
+    return out
+
+
 def leaves(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the leaf blocks of ``text`` in order; words between signs are of kind "words"."""
+    """(kind, start, end) of the leaf blocks of ``text`` in order; words between signs are of kind "words".
+
+    Templates, links of a wiki and arguments of commands reach to their closing bracket, whatever is
+    nested in them and however long they are; an opening one that is never closed is a sign of its own.
+    """
     out, at = [], 0
-    for m in _LEAF.finditer(text):
-        if m.start() > at:
-            out.append(("words", at, m.start()))
-        out.append((m.lastgroup, m.start(), m.end()))
-        at = m.end()
+    double = _closed(text, _DOUBLE) if "{{" in text or "[[" in text else {}
+    braces: dict[int, int] | None = None
+    search = _LEAF.search
+    while m := search(text, at):
+        kind, a, b = m.lastgroup, m.start(), m.end()
+        if kind in ("template", "wikilink") and m[0] in _PAIRS:
+            b = double.get(a, 0)
+            if b <= a + 4:
+                kind, b = "other", a + 1
+        elif kind in ("command", "environment") and text[b : b + 1] in ("{", "[") and not m[0].startswith("{"):
+            if braces is None:
+                braces = _closed(text, _SINGLE)
+            while b < len(text):
+                if text[b] == "{" and b in braces:
+                    b = braces[b]
+                elif text[b] == "[" and (e := text.find("]", b)) > 0 and "\n" not in text[b:e]:
+                    b = e + 1
+                else:
+                    break
+        if a > at:
+            out.append(("words", at, a))
+        out.append((kind, a, b))
+        at = b
     if at < len(text):
         out.append(("words", at, len(text)))
     return out
@@ -304,74 +348,181 @@ def notations(text: str, field: Field) -> list[str]:
 # ---------------------------------------------------------------- clean text
 
 
-def _inner(kind: str, s: str) -> str:
-    if kind == "entity":
-        return html.unescape(s).replace("\xa0", " ")
-    if kind == "tag":
+# Commands of which the argument is the text, those that only refer or lay out, and levels of headings.
+_SHOWN = ("textbf", "textit", "emph", "text", "mathrm", "texttt", "textsc", "textsf", "underline", "url", "textsuperscript", "textsubscript", "mbox", "title", "author", "caption", "chem", "ce")
+_SILENT = ("cite", "citep", "citet", "ref", "label", "eqref", "noindent", "centering", "hline", "toprule", "midrule", "bottomrule", "newpage", "clearpage", "bf", "it", "em", "rm", "sf", "tt", "small", "large")
+_LEVELS = {"chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
+_BLOCKS = ("p", "div", "br", "hr", "tr", "ul", "ol", "table", "title", "sec", "section", "article", "blockquote", "figure", "figcaption", "caption", "dl", "dt", "dd")
+_LISTS = {"ul": "- ", "itemize": "- ", "description": "- ", "ol": "1. ", "enumerate": "1. "}
+
+
+def _split_top(s: str, sign: str = "|") -> list[str]:
+    """``s`` cut at signs that stand in no bracket."""
+    out, depth, begun = [], 0, 0
+    for m in re.finditer(r"\{\{|\[\[|\}\}|\]\]|" + re.escape(sign), s):
+        if m[0] in ("{{", "[["):
+            depth += 1
+        elif m[0] in ("}}", "]]"):
+            depth -= 1
+        elif depth == 0:
+            out.append(s[begun : m.start()])
+            begun = m.end()
+    return [*out, s[begun:]]
+
+
+def _arguments(s: str) -> list[str]:
+    """The braced arguments of a command."""
+    closed = _closed(s, _SINGLE)
+    out, at = [], 0
+    while (at := s.find("{", at)) >= 0:
+        end = closed.get(at)
+        if end is None:
+            at += 1
+            continue
+        out.append(s[at + 1 : end - 1])
+        at = end
+    return out
+
+
+class _Writer:
+    """Writes leaves of markup as clean text; remembers in which lists it is and whether a fence is open."""
+
+    def __init__(self, field: "Field"):
+        self.field = field
+        self.lists: list[list] = []  # mark of the items, items so far
+
+    def _again(self, s: str) -> str:
+        return clean(s, self.field) if _LEAF.search(s) else s
+
+    def _item(self) -> str:
+        if not self.lists or self.lists[-1][0] == "- ":
+            return "- "
+        self.lists[-1][1] += 1
+        return f"{self.lists[-1][1]}. "
+
+    def _list(self, name: str, close: bool) -> None:
+        if not close:
+            self.lists.append([_LISTS[name], 0])
+        elif self.lists:
+            self.lists.pop()
+
+    def tag(self, s: str) -> str:
         name = re.sub(r"[^a-z0-9]", "", s.lower().split()[0].strip("</>"))
         close = s.startswith("</")
+        if name in ("ul", "ol"):
+            self._list(name, close)
         if name == "li":
-            return "" if close else "\n- "
+            return "" if close else "\n" + self._item()
         if name in ("td", "th"):
             return "\t" if close else ""
-        if name in ("p", "div", "br", "hr", "tr", "ul", "ol", "table", "pre", "title", "sec") or re.fullmatch(r"h\d", name):
-            return "\n" + ("# " if re.fullmatch(r"h\d", name) and not close else "")
-        return ""
-    if kind in ("comment", "switch", "refline", "fence", "setext") or kind == "image":
-        return "" if kind != "image" else re.sub(r"!\[([^\]]*)\].*", r"\1", s, flags=re.DOTALL)
-    if kind == "link":
-        return re.sub(r"^\[([^\]]*)\].*", r"\1", s, flags=re.DOTALL).strip("<>")
-    if kind in ("strong", "under", "strike", "raised", "code"):
-        return s.strip("*_~^`")
-    if kind == "quotes":
-        return ""
-    if kind == "hash" or kind == "wikihead":
-        return "# " + s.strip("= \t#")
-    if kind == "quote" or kind == "wikiindent":
-        return ""
-    if kind == "bullet":
-        return "- "
-    if kind == "row":
-        return "" if re.fullmatch(r"[\s|:-]+", s) else "\t".join(c.strip() for c in s.strip().strip("|").split("|"))
-    if kind == "wikitable":
-        t = s.strip()
-        return "" if t.startswith(("{|", "|}", "|-")) else "\t".join(c.strip() for c in re.split(r"\|\||!!", t.strip("|!+ ")))
-    if kind == "wikilink":
-        return s.strip("[]").split("|")[-1].split(" ", 1)[-1] if s.startswith("[http") else re.sub(r"^(?:Category|File|Image):.*?(?:\||$)", "", s.strip("[]")).split("|")[-1]
-    if kind == "template":
-        parts = s.strip("{}").split("|")
-        return " ".join([*[p for p in parts[1:] if "=" not in p], *[p.split("=", 1)[1] for p in parts[1:] if p.startswith("u=")]])
-    if kind in ("display", "math", "dollars"):
-        return s if kind != "display" else "\n" + s.strip("$").strip() + "\n"
-    if kind == "environment":
-        return "\n"
-    if kind == "command":
+        if name == "pre":
+            return "\n```\n"
+        if m := re.fullmatch(r"h([1-6])", name):
+            return "\n" + ("" if close else "#" * int(m[1]) + " ")
+        return "\n" if name in _BLOCKS else ""
+
+    def command(self, s: str) -> str:
         m = re.match(r"~?\{?\\([A-Za-z]+)", s)
-        args = re.findall(r"\{((?:[^{}]|\{[^{}]*\})*)\}", s)
         name = m[1] if m else ""
+        args = _arguments(s) if not s.startswith("{") else []
         if name == "item":
-            return "- "
-        if name in ("section", "subsection", "subsubsection", "chapter", "paragraph"):
-            return "# " + (args[0] if args else "")
-        if name in ("cite", "citep", "citet", "ref", "label", "eqref", "footnote", "noindent"):
+            return self._item() + (f"{s[s.find('[') + 1 : s.find(']')]} " if "[" in s else "")
+        if name in _LEVELS:
+            return "#" * _LEVELS[name] + " " + self._again(args[0] if args else "")
+        if name == "footnote":
+            return f" ({self._again(args[0])})" if args else ""
+        if name in _SILENT:
             return ""
-        if name in ("textbf", "textit", "emph", "text", "mathrm", "texttt", "underline", "url"):
-            return args[0] if args else ""
-        return " ".join(a.strip("\\") for a in args) if name == "SI" else "" if name in ("bf", "it", "em", "rm") else s
-    if kind == "escape":
-        return " " if s in ("\\,", "\\;", "\\:", "\\!") else s[1:]
-    return "" if kind in ("other", "footnote") else s
+        if name == "href" and len(args) > 1:
+            return self._again(args[1])
+        if name in _SHOWN:
+            return self._again(args[0]) if args else ""
+        return " ".join(a.strip("\\") for a in args) if name == "SI" else s
+
+    def template(self, s: str) -> str:
+        """The values of a template's parameters, named ones included; its own name names no content."""
+        values = [p.split("=", 1)[-1].strip() if re.match(r"\s*[\w -]+=", p) else p.strip() for p in _split_top(s[2:-2])[1:]]
+        return " ".join(self._again(v) for v in values if v)
+
+    def wikilink(self, s: str) -> str:
+        if not s.startswith("[["):
+            return s.strip("[]").split(" ", 1)[-1]
+        parts = _split_top(s[2:-2])
+        if re.match(r"(?:Category|File|Image):", parts[0]) and len(parts) == 1:
+            return ""
+        return self._again(parts[-1])
+
+    def write(self, kind: str, s: str) -> str:
+        match kind:
+            case "entity":
+                return html.unescape(s).replace("\xa0", " ")
+            case "tag":
+                return self.tag(s)
+            case "command":
+                return self.command(s)
+            case "template":
+                return self.template(s)
+            case "wikilink":
+                return self.wikilink(s)
+            case "fence":
+                return "```"
+            case "image":
+                return re.sub(r"!\[([^\]]*)\].*", r"\1", s, flags=re.DOTALL)
+            case "link":
+                return re.sub(r"^\[([^\]]*)\].*", r"\1", s, flags=re.DOTALL).strip("<>")
+            case "strong" | "under" | "strike" | "raised" | "code":
+                return s.strip("*_~^`")
+            case "hash":
+                return s.strip() + " "
+            case "wikihead":
+                t = s.strip()
+                level = len(t) - len(t.lstrip("="))
+                return "#" * level + " " + t.strip("= \t")
+            case "bullet":
+                return s[: len(s) - len(s.lstrip())] + "- "
+            case "row":
+                return "" if re.fullmatch(r"[\s|:-]+", s) else "\t".join(self._again(c.strip()) for c in s.strip().strip("|").split("|"))
+            case "wikitable":
+                t = s.strip()
+                return "" if t.startswith(("{|", "|}", "|-")) else "\t".join(self._again(c.strip()) for c in re.split(r"\|\||!!", t.strip("|!+ ")))
+            case "display":
+                return "\n" + s + "\n"
+            case "environment":
+                name = s[s.find("{") + 1 : s.find("}")].rstrip("*")
+                if name in _LISTS:
+                    self._list(name, s.startswith("\\end"))
+                if name in ("verbatim", "lstlisting", "minted"):
+                    return "```"
+                return s if name in ("equation", "align", "gather", "multline", "eqnarray", "array", "matrix", "cases") else "\n"
+            case "escape":
+                return " " if s in ("\\,", "\\;", "\\:", "\\!") else s[1:]
+            case "comment" | "switch" | "refline" | "setext" | "quotes" | "quote" | "wikiindent" | "other" | "footnote":
+                return ""
+        return s  # formulas, and signs that the field took for markup though they carry content
 
 
 def clean(text: str | None, field: Field) -> str | None:
-    """``text`` without markup; headings stand on lines of their own behind "# ", list items behind "- ", table cells
-    between tabs, code and formulas keep their content. Null stays null."""
+    """``text`` without markup; headings stand on lines of their own behind as many "#" as their level, list items behind
+    "- " or their number, table cells between tabs, code blocks between fences; formulas stay as they are, and so does the
+    text of footnotes, captions and parameters of templates. Null stays null."""
     if not text:
         return text
     found = leaves(text)
     ys = field.decode(features(text, found))
-    out = [text[a:b] if y == 0 else _inner(k, text[a:b]) for (k, a, b), y in zip(found, ys)]
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(out))).strip() if any(ys) else text
+    if not any(ys):
+        return text
+    writer = _Writer(field)
+    out: list[str] = []
+    for (k, a, b), y in zip(found, ys):
+        s = text[a:b]
+        if y and k == "setext" and s.strip()[0] in "=-":  # the line above is a heading
+            for i in range(len(out) - 1, -1, -1):
+                if (line := out[i].rstrip("\n")) and line.strip():
+                    cut = line.rfind("\n") + 1
+                    out[i] = line[:cut] + ("# " if s.strip()[0] == "=" else "## ") + line[cut:] + out[i][len(line) :]
+                    break
+        out.append(s if y == 0 else writer.write(k, s))
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(out))).strip()
 
 
 # ---------------------------------------------------------------- tables

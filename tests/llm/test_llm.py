@@ -329,12 +329,43 @@ def test_filter_passes_digits_in_signs(spark):
 
 def test_clean_keeps_structure():
     f = p6_markup.trained()
-    assert p6_markup.clean("## Head\n\n* one **two**\n* three\n\n```\nx = 1\n```", f) == "# Head\n\n- one two\n- three\n\nx = 1"
+    # heading levels and fences of code are kept
+    assert p6_markup.clean("## Head\n\n* one **two**\n* three\n\n```\nx = 1\n```", f) == "## Head\n\n- one two\n- three\n\n```\nx = 1\n```"
     assert p6_markup.clean("<p>a &lt; b</p><ul><li>c</li></ul>", f) == "a < b\n\n- c"
+    assert p6_markup.clean("<h2>Top</h2><ol><li>c</li><li>d</li></ol>", f) == "## Top\n\n1. c\n2. d"
     assert p6_markup.clean("the [[pipe flow|flow]] is ''fast''", f) == "the flow is fast"
+    assert p6_markup.clean("\n\n=== Flow ===\n\nIt is {{cvt|5|K|note={{small|cold}}}} here", f) == "### Flow\n\nIt is 5 K cold here"
+    assert p6_markup.clean("A word\\footnote{Seen in \\emph{two} runs.} and \\textbf{more}", f) == "A word (Seen in two runs.) and more"
     assert p6_markup.clean(None, f) is None and p6_markup.clean("plain", f) == "plain"
 
 
+def test_formulas_of_any_length():
+    f = p6_markup.trained()
+    inline = "$" + " + ".join(f"a_{i} x" for i in range(60)) + "$"
+    display = "$$\n" + " + ".join(f"a_{i} x^2" for i in range(120)) + "\n$$"
+    for formula in (inline, display):
+        text = f"The sum {formula} was kept as it is."
+        assert len(formula) > 400 and p6_markup.notations(text, f) == ["latex"] and formula in p6_markup.clean(text, f)
+    nested = "See {{cite|a={{b|c}}|d}} for it."
+    assert p6_markup.notations(nested, f) == ["wiki"] and p6_markup.clean(nested, f) == "See c d for it."
+    assert p6_markup.notations("A " + "very " * 60 + "**" + "long " * 60 + "end** word", f) == ["markdown"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [  # written by hand, apart from the generator of the training pages
+        ("<!DOCTYPE html>\n<html><body><h1>Drying of peat</h1><p>Peat was dried for 3&nbsp;h.</p></body></html>", ["html"]),
+        ("Results\n=======\n\nSee [the data](https://example.org/d.csv) and `run.py`.\n\n1. first\n2. second", ["markdown"]),
+        ("{| class=\"wikitable\"\n|-\n! Run !! Yield\n|-\n| 1 || 0.4\n|}\n''Note'': [[Peat]] was wet.", ["wiki"]),
+        ("\\section{Drying}\nThe flux $J = k \\Delta p$ follows \\citep{olsen}.\n\\begin{itemize}\n\\item wet\n\\end{itemize}", ["latex"]),
+        ("Costs rose from $12 to $15 a tonne [7], i.e. x_1 < x_2 & y > 3 (p < 0.01), at 40 % of A*B and C#3.", []),
+        ("The set {a, b} and the interval [0, 1] hold for |x| < 1; f(x) = x^2, see eq. (3) and [FORMULA].", []),
+    ],
+)
+def test_notations_of_pages_written_by_hand(text, want):
+    assert p6_markup.notations(text, p6_markup.trained()) == want
+
+
 def test_residue_table(spark):
     o = spark.createDataFrame([("v", ["a **b** c", None], "2026-01-01T00:00:00Z", ""), ("v", ["plain", "<b>x</b>"], "2026-01-02T00:00:00+00:00", ""), ("n", None, None, "")], "variant_id string, step_outputs array<string>, created_at string, ks string")
     s = spark.createDataFrame([("d", 1, "x <i>y</i> z", ""), ("d", 1, "x <i>y</i> z", ""), ("d", 2, None, ""), ("d", 3, " ", "")], "doc_id string, seg_order int, text string, at string")
