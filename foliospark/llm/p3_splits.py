@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.operators.components import components
+from foliospark.operators.components import components, spanning_forest
 from foliospark.operators.scale import running_totals, unit_key
 from foliospark.session import cut_lineage
 from foliospark.sources.tables import table
 
 #: Stand-ins that name no bundle, in lower case and without blanks and the prefix "b-". Fixed values.
 STAND_INS = ("", "-", "--", "?", "??", ".", "n/a", "na", "n.a.", "none", "null", "nil", "nan", "unknown", "unk", "und", "undefined", "missing", "tbd", "tba", "todo", "xxx", "x", "other", "not available", "unassigned")
-#: A variant's id: the seed's id, the act and the model family.
-VARIANT_ID = r"^(.+)-(generation|rewriting|proofreading|translation|machine_translation|mixed|human_edited_ai|quoted_ai_output|search_ideation|unknown)-[^-]+$"
+#: A variant's id: the seed's id, the act and the model family. Where several acts stand in an id, the seed may end before any.
+VARIANT_ID = r"^(.+{lazy})-(?:generation|rewriting|proofreading|translation|machine_translation|mixed|human_edited_ai|quoted_ai_output|search_ideation|unknown)-.+$"
 #: Seed of the dealing order.
 SEED = 20260102
 
@@ -45,7 +45,8 @@ def ties(rec: DataFrame) -> DataFrame:
     leader = named.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     bundles = named.join(leader, "key").select(F.col("doc_id").alias("a"), "b")
     ids = rec.select("doc_id").distinct()
-    variants = ids.select("doc_id", F.regexp_extract("doc_id", VARIANT_ID, 1).alias("b")).where("b <> ''")
+    before = [F.regexp_extract("doc_id", VARIANT_ID.replace("{lazy}", lazy), 1) for lazy in ("", "?")]
+    variants = ids.select("doc_id", F.explode(F.array_distinct(F.array(*before))).alias("b")).where("b <> ''")
     seeds = variants.join(ids.select(F.col("doc_id").alias("b")), "b").select(F.col("doc_id").alias("a"), "b")
     return bundles.unionByName(seeds).where("a <> b")
 
@@ -58,6 +59,12 @@ def grouped(manifest: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(comp, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
 
 
+def forest(manifest: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): the ties that hold the groups together, as few as possible, in the ids of the records; written to the shared folder."""
+    _, edges = spanning_forest(ties(cut_lineage(records(manifest, labels))))
+    return cut_lineage(edges)
+
+
 def found(manifest: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, group_id) of all records whose group has two or more members.
 
@@ -96,6 +103,10 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deal(groups, table(spark, sf_dir, "split_plan"))
 
 
+def p3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "label_records"))
+
+
 SQL = {
     "p3_found": r"""
 WITH RECURSIVE r0 AS (
@@ -112,4 +123,4 @@ walk AS (SELECT a AS s, a AS t FROM e UNION SELECT w.s, e.b FROM walk w JOIN e O
 SELECT s AS doc_id, min(t) AS group_id FROM walk GROUP BY s""",
 }
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits}
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_forest": p3_forest}

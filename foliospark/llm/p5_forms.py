@@ -100,20 +100,34 @@ def look_alikes(segments: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.doc_id").alias("doc_id_a"), F.col("a.seg_order").alias("seg_order_a"), F.col("b.doc_id").alias("doc_id_b"), F.col("b.seg_order").alias("seg_order_b"))
 
 
-def consistent(segments: DataFrame) -> DataFrame:
-    """(doc_id, seg_order, text): every body segment in the consistent form; null stays null, blank becomes empty."""
-    texts = _bodies(segments)
-    first = cut_lineage(texts.mapInPandas(_first, _FIRST).where("folded IS NOT NULL").select("id", "folded", "words").dropDuplicates(["id"]))
-    ok = _approved(first, texts)
-    fixed = first.join(ok, "id", "left").select("id", _repaired("folded", "ok").alias("fixed"))
+_EVERY = "id struct<doc_id:string,seg_order:int>, raw binary, folded string, words array<string>"
 
-    @F.pandas_udf(T.StringType())
-    def folded(s: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else textform.fold(t) for t in s], dtype=object)
 
-    rows = segments.where("kind = 'body'").select(F.struct("doc_id", "seg_order").alias("id"), "text").dropDuplicates(["id"])
-    out = rows.join(fixed, "id", "left").select("id.doc_id", "id.seg_order", F.coalesce("fixed", folded("text")).alias("text"))
-    return out
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for i, text in zip(b["id"], b["text"]):
+            if text is None:
+                rows.append((i, None, None, None))
+                continue
+            folded = textform.fold(text)
+            found = textform.candidates(folded)
+            rows.append((i, _digest(text), folded, list({f.lower() for _, forms in found for f in forms}) if found else None))
+        yield pd.DataFrame(rows, columns=["id", "raw", "folded", "words"])
+
+
+def consistent(segments: DataFrame) -> DataFrame:
+    """(doc_id, seg_order, text): every segment of any kind in the consistent form; null stays null, blank becomes empty.
+
+    Of several deliveries of a segment the one with the smallest digest of its text counts, as in
+    ``forms``; a null text counts only where no other was delivered.
+    """
+    texts = segments.select(F.struct("doc_id", "seg_order").alias("id"), "text")
+    every = texts.mapInPandas(_folded, _EVERY)
+    one = cut_lineage(every.groupBy("id").agg(F.min(F.struct(F.col("raw").isNull().alias("none"), "raw", "folded", "words")).alias("m")).select("id", "m.folded", "m.words"))
+    ok = _approved(one.where("words IS NOT NULL"), texts.where("text IS NOT NULL"))
+    fixed = one.where("words IS NOT NULL").join(ok, "id", "left").select("id", _repaired("folded", "ok").alias("text"))
+    return one.where("words IS NULL").select("id", F.col("folded").alias("text")).unionByName(fixed).select("id.doc_id", "id.seg_order", "text")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,19 +30,33 @@ BLOCK_CHARS = 8_000_000
 #: Spellings that a worker remembers; beyond that it forgets all. Changes speed only.
 MEMO = 400_000
 
+#: A passage is removed from training text if it has so many words, or covers such a share of its item.
+REMOVE_WORDS, REMOVE_COVERAGE = 25, 0.3
+
+#: Scripts without blanks between words: each of their characters counts as a word.
+_SOLID_CHARS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_SOLID = re.compile(f"[{_SOLID_CHARS}]")
+_CHUNK = re.compile(f"[{_SOLID_CHARS}]|[^\\s{_SOLID_CHARS}]+")
 _CITATION = re.compile(r"\[\s*\d{1,4}(?:\s*[,;–-]\s*\d{1,4})*\s*\]|\[\^?\w{1,12}\]")
 _WRAPPED = re.compile(r"(?<=\w)[-‐­]\r?\n[ \t>]*(?=\w)")
+_INNER = re.compile(r"[\W_]*(.*?)[\W_]*\Z", re.DOTALL)
 _NOT_WORD = re.compile(r"[\W_]+")
 _SKIP, _UNKNOWN = -2, -1
 
 
 def clean(text: str) -> str:
-    """Lower case, words that were broken at a line end rejoined, citation marks removed."""
+    """Lower case, words that were broken at a line end rejoined, citation marks blanked; every character keeps its place."""
     if "\n" in text:
-        text = _WRAPPED.sub("", text)
+        text = _WRAPPED.sub(lambda m: "\0" * len(m[0]), text)
     if "[" in text:
-        text = _CITATION.sub(" ", text)
-    return text.lower()
+        text = _CITATION.sub(lambda m: " " * len(m[0]), text)
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def chunks(cleaned: str) -> list[str]:
+    """Runs without blanks; of scripts without blanks single characters."""
+    return _CHUNK.findall(cleaned) if _SOLID.search(cleaned) else cleaned.split()
 
 
 def word_form(chunk: str) -> str:
@@ -168,7 +183,7 @@ class Finder:
     def __init__(self, items: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in items]
-        self.words = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for c in clean(t).split() if (w := word_form(c))] for _, t in items]
+        self.words = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for c in chunks(clean(t)) if (w := word_form(c))] for _, t in items]
         self.automaton = SuffixAutomaton(self.words)
         finder = self
 
@@ -184,7 +199,7 @@ class Finder:
 
     def leaks(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """(item id, first word, last word, words, words of the item) of every passage in ``text``."""
-        ids = np.fromiter(map(self.memo.__getitem__, clean(text).split()), np.int32)
+        ids = np.fromiter(map(self.memo.__getitem__, chunks(clean(text))), np.int32)
         ids = ids[ids != _SKIP]
         # A match can't hold a word that no item has: only long runs of known words are streamed.
         edges = np.flatnonzero(np.diff(np.concatenate([[False], ids >= 0, [False]])))
@@ -213,7 +228,17 @@ class Finder:
         return out
 
 
-@functools.lru_cache(4)
+    def places(self, text: str) -> list[tuple[int, int, int, int, int]]:
+        """(item id, first character, behind the last character, words, words of the item) of every passage in ``text``."""
+        found = self.leaks(text)
+        if not found:
+            return []
+        at = [m for m in _CHUNK.finditer(clean(text)) if self.memo[m[0]] != _SKIP]
+        # Signs around the first and the last word stay outside.
+        return [(it, at[f].start() + _INNER.match(at[f][0]).start(1), at[e - 1].start() + _INNER.match(at[e - 1][0]).end(1), n, whole) for it, f, e, n, whole in found]
+
+
+@functools.lru_cache(1)
 def _finder(items: tuple[tuple[int, str], ...]) -> Finder:
     return Finder(list(items))
 
@@ -237,9 +262,10 @@ def blocks_of(items: DataFrame, limit: int = BLOCK_CHARS) -> list[tuple[tuple[in
 _SPANS = "doc_id bigint, item_id bigint, first_word int, last_word int, words int, item_words int"
 
 
-def leak_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
+def leak_spans(documents: DataFrame, items: DataFrame, characters: bool = False) -> DataFrame:
     """One row per leaked passage: its words by number in the document and the words of the item.
 
+    With ``characters`` the first two columns of places count characters of the text instead of words.
     Null, empty and wordless texts give no row; a document that stands twice gives its rows twice.
     The corpus is scanned once per block of items and never shuffled.
     """
@@ -251,8 +277,9 @@ def leak_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = _finder(shared.value)
+            look = finder.places if characters else finder.leaks
             for b in batches:
-                rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in finder.leaks(t)]
+                rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in look(t)]
                 cols = list(zip(*rows)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 4)], names=["doc_id", "item_id", "first_word", "last_word", "words", "item_words"])
 
@@ -261,6 +288,37 @@ def leak_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], _SPANS)
 
 
+def without_leaks(documents: DataFrame, items: DataFrame, words: int = REMOVE_WORDS, coverage: float = REMOVE_COVERAGE) -> DataFrame:
+    """(doc_id, removed, text): documents that lose passages, without them, and how many characters were removed.
+
+    A passage goes if it has at least ``words`` words or covers at least ``coverage`` of its item; shorter
+    ones stay. Overlapping passages go together, one blank stands for each. Rows of a document that
+    stands twice are handled alike; documents without such passages have no row.
+    """
+    gone = leak_spans(documents, items, characters=True).where((F.col("words") >= words) | (F.col("words") >= coverage * F.col("item_words")))
+    spans = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.col("first_word").alias("f"), F.col("last_word").alias("e")))).alias("spans"))
+
+    @F.pandas_udf("removed int, text string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, ss in zip(texts, spans):
+            kept, at, n = [], 0, 0
+            for s in ss:
+                f, e = s["f"], s["e"]
+                if e <= at or e > len(t):
+                    continue
+                f = max(f, at)
+                if f > at or not kept:
+                    kept.append(t[at:f])
+                n += e - f
+                at = e
+            rows.append((n, " ".join(x for x in (*(k.strip(" ") for k in kept), t[at:].strip(" ")) if x)))
+        return pd.DataFrame(rows, columns=["removed", "text"]).astype({"removed": "int32"})
+
+    docs = documents.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.join(spans, "doc_id").select("doc_id", cut("text", "spans").alias("c")).select("doc_id", "c.*")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -269,5 +327,9 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 SQL: dict[str, str] = {}
-QUERIES = {"p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES = {"p8_found": p8_found, "p8_spans": p8_spans, "p8_removed": p8_removed}

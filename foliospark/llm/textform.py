@@ -8,8 +8,8 @@ import unicodedata
 
 # Look-alike letters of other scripts and the Latin letters they look like.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝӏАВЕКМНОРСТУХІЈЅԚԜҮ", "aeopcyxijshdqwlABEKMHOPCTYXIJSQWY"))
-GREEK = dict(zip("οΟΑΒΕΖΗΙΚΜΝΡΤΥΧνραικυ", "oOABEZHIKMNPTYXvpaiku"))
-OTHER = dict(zip("օոսհıɑɡ", "onuhiag"))
+GREEK = dict(zip("οΟΑΒΕΖΗΙΚΜΝΡΤΥΧνραικυϲϳϹͿ", "oOABEZHIKMNPTYXvpaikucjCJ"))
+OTHER = dict(zip("օոսհցյıɑɡʋᴄᴏᴠᴡᴢᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏢᏔᏚᏙᏞᏟᏦᏴ", "onuhgjiagucovwzDRTAJEWMHGZPWSVLCKB"))
 TO_LATIN = CYRILLIC | GREEK | OTHER
 TO_CYRILLIC = {v: k for k, v in CYRILLIC.items()}
 TO_GREEK = {v: k for k, v in GREEK.items()}
@@ -140,7 +140,7 @@ def _convert(token: str, to: str) -> str | None:
 
 
 _ONLY_CYRILLIC = re.compile("[бгджзийлпфцчшщъыьэюя]")
-_SUSPECT = re.compile("[Ͱ-ԯա-ևıɑɡ]")
+_SUSPECT = re.compile("[Ͱ-ԯա-ևıɑɡʋᴄᴏᴠᴡᴢᎠ-Ᏼ]")
 
 
 def candidates(folded: str) -> list[tuple[str, list[str]]]:
@@ -182,7 +182,7 @@ def repair(folded: str, vocabulary) -> str:
 
 
 #: Letters of two scripts in one word, maybe with letters of others and accents between.
-_MIXED = re.compile("[A-Za-zÀ-ÖØ-öø-\u024f\u1e00-\u1eff][\u0300-\u036f\u0250-\u02af\u0531-\u058f]*[\u0370-\u052f]|[\u0370-\u03ff][\u0300-\u036f\u0250-\u02af\u0531-\u058f]*[A-Za-zÀ-ÖØ-öø-\u024f\u1e00-\u1eff\u0400-\u052f]|[\u0400-\u052f][\u0300-\u036f\u0250-\u02af\u0531-\u058f]*[A-Za-zÀ-ÖØ-öø-\u024f\u1e00-\u1eff\u0370-\u03ff]")
+_MIXED = re.compile("[A-Za-zÀ-ÖØ-öø-\u024f\u1e00-\u1eff][\u0300-\u036f\u0250-\u02af\u0531-\u058f\u13a0-\u13f5]*[\u0370-\u052f]|[\u0370-\u03ff][\u0300-\u036f\u0250-\u02af\u0531-\u058f\u13a0-\u13f5]*[A-Za-zÀ-ÖØ-öø-\u024f\u1e00-\u1eff\u0400-\u052f]|[\u0400-\u052f][\u0300-\u036f\u0250-\u02af\u0531-\u058f\u13a0-\u13f5]*[A-Za-zÀ-ÖØ-öø-\u024f\u1e00-\u1eff\u0370-\u03ff]")
 
 
 def skeleton(text: str) -> tuple[str, list[int]]:

@@ -208,6 +208,22 @@ def test_groups_and_splits(spark):
     assert p3_splits.found(md.limit(0), ld.limit(0)).count() == 0
 
 
+def test_forest_and_shares_of_splits(spark):
+    from foliospark.sources.tables import table
+
+    m, lr = (table(spark, "/root/testdata/sf0.01", t) for t in ("manifest", "label_records"))
+    groups = {r["doc_id"]: r["group_id"] for r in p3_splits.found(m, lr).collect()}
+    edges = [tuple(r) for r in p3_splits.forest(m, lr).collect()]
+    assert brute_groups(edges) == groups and len(edges) == len(groups) - len(set(groups.values()))
+    plan = table(spark, "/root/testdata/sf0.01", "split_plan")
+    rows = p3_splits.deal(p3_splits.grouped(m, lr), plan).collect()
+    largest = max(sum(r["group_id"] == g for r in rows) for g in set(groups.values()))
+    for r in plan.collect():
+        assert abs(sum(x["split"] == r["split"] for x in rows) - r["share"] * len(rows)) <= 2 * largest + 8
+    one = spark.createDataFrame([("S", None), ("S-rewriting-a-b", None), ("S-mixed-x-rewriting-y", None), ("S-mixed-x", None)], "doc_id string, bundle_id string")
+    assert {r["group_id"] for r in p3_splits.found(one, one.limit(0)).collect()} == {"S"}
+
+
 def test_components_against_union_find(spark):
     from foliospark.operators.components import components
 
@@ -273,6 +289,9 @@ def test_look_alikes(spark):
     alike = {"a": base, "b": 1, "c": 2, "d": base, "e": 3}
     assert got == {(x, 1, y, 1) for x in alike for y in alike if x < y and alike[x] != alike[y]}
     assert p5_forms.look_alikes(spark.createDataFrame([], schema)).count() == 0
+    twice = [("t", 1, "heading", None, ""), ("t", 1, "heading", "a\u00a0b", ""), ("t", 1, "heading", "c", ""), ("u", 1, "table", None, "")]
+    one, other = ({(r["doc_id"], r["seg_order"]): r["text"] for r in p5_forms.consistent(spark.createDataFrame(x, schema)).collect()} for x in (rows + twice, twice[::-1] + rows[::-1]))
+    assert one == other and one[("t", 1)] in ("a b", "c") and one[("u", 1)] is None  # one delivery, whatever the order
     forms = {r["doc_id"]: r["text"] for r in p5_forms.consistent(spark.createDataFrame(rows, schema)).collect()}
     assert forms["b"] == forms["c"] == forms["e"] == base and forms["k"] is None and forms["l"] == ""
 
@@ -281,6 +300,7 @@ def test_repair_needs_the_word():
     assert textform.repair("the сat sat", {"cat"}) == "the cat sat"
     assert textform.repair("the сat sat", {"dog"}) == "the сat sat"
     assert textform.repair("Это опыт", {"oпыт"}) == "Это опыт"
+    assert textform.repair("the Ꭺcid and ϲore and ᴄost", {"acid", "core", "cost"}) == "the Acid and core and cost"
     assert textform.fold("CO₂ m² №5 …") == "CO₂ m² №5 ..."
 
 
@@ -415,6 +435,19 @@ def test_leaks_against_brute_force(spark):
     assert len(p8_leaks.blocks_of(e, 300)) == 4
 
 
+def test_scripts_without_blanks_and_removal(spark):
+    rng = random.Random(3)
+    zh = "".join(rng.choice("的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会可主发年动") for _ in range(60)) + "。"
+    w = [f"word{i}" for i in range(60)]
+    items = spark.createDataFrame([(1, zh), (2, " ".join(w))], "item_id long, text string")
+    docs = [(1, f"前面的文字，{zh}后面", ""), (2, "Before it: " + " ".join(w[:10]) + " [3, 4] exam-\nple " + " ".join(w[10:50]).upper() + ". Behind it.", ""), (3, "A note: " + " ".join(w[:16]) + ". It ends.", ""), (4, "nothing", ""), (5, None, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, removed string")
+    assert {(r["doc_id"], r["item_id"]) for r in p8_leaks.leak_spans(d, items).collect()} == {(1, 1), (2, 2), (3, 2)}
+    got = {r["doc_id"]: (r["removed"], r["text"]) for r in p8_leaks.without_leaks(d, items).collect()}
+    assert got == {1: (60, "前面的文字， 。后面"), 2: (len(docs[1][1]) - len("Before it: . Behind it."), "Before it: . Behind it.")}
+    assert p8_leaks.without_leaks(d, items.limit(0)).count() == 0
+
+
 def test_automaton_finds_longest_runs():
     random.seed(2)
     items = [[random.randint(0, 3) for _ in range(30)] for _ in range(3)]
