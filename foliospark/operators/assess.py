@@ -77,3 +77,16 @@ def pages_without_body(seg: DataFrame, documents: DataFrame) -> DataFrame:
     none = F.array().cast("array<int>")
     every = F.when(F.col("pages_total") > 0, F.sequence(F.lit(1), F.col("pages_total").cast("int"))).otherwise(none)
     return documents.join(have, "doc_id", "left").select("doc_id", F.array_except(every, F.coalesce("have", none)).alias("pages"))
+
+
+def segment_issues(seg: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, code, n) of what the segments of ``documents`` (doc_id, pages_failed) show: front_not_found, no_body, out_of_scope
+    and failed_pages (their number)."""
+    text = F.col("text")
+    marker = (F.coalesce("page", F.lit(0)) <= 3) & (((F.col("kind") == "heading") & X.is_named_heading(text)) | (F.col("kind").isin("body", "front_matter") & text.rlike(P.ABSTRACT_LABEL)))
+    front = seg.groupBy("doc_id").agg(F.max(marker).alias("_front"))
+    d = assess(seg, documents).join(front, "doc_id", "left").join(documents.select("doc_id", F.size("pages_failed").alias("_failed")), "doc_id")
+    code = lambda flag, name, n=1: F.when(flag, F.struct(F.lit(name).alias("code"), F.lit(n).cast("long").alias("n")))
+    failed = F.when(F.col("_failed") > 0, F.struct(F.lit("failed_pages").alias("code"), F.col("_failed").cast("long").alias("n")))
+    found = F.array_compact(F.array(code(~F.coalesce("_front", F.lit(False)), "front_not_found"), code(F.col("status") == "extraction_failed", "no_body"), code(F.col("status") == "out_of_scope", "out_of_scope"), failed))
+    return d.select("doc_id", F.explode(found).alias("i")).select("doc_id", "i.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import patterns as P
 from foliospark.functions import text as X
+from foliospark.sources.files import write_json_lines
 
 
 def stage_verdict(stage: str) -> Column:
@@ -69,3 +70,15 @@ def label_errors(records: DataFrame, order: str = "line_no") -> DataFrame:
     ]
     none = F.array().cast("array<struct<rule_no:int,rule:string,item:string>>")
     return d.select(F.col(order).alias("line_no"), "doc_id", F.explode(F.flatten(F.array(*[F.coalesce(x, none) for x in lists]))).alias("e")).select("line_no", "doc_id", "e.*")
+
+
+def save_labels(records: DataFrame, path: str, order: str = "doc_id") -> None:
+    """Writes label records as JSON lines with their derived stages and presence; writes nothing and raises ``ValueError``
+    with the first five errors if any record breaks a rule."""
+    numbered = records.withColumn("line_no", F.col(order))
+    bad = label_errors(numbered).orderBy("line_no", "rule_no", "item").limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['doc_id']}: {r['rule']}" for r in bad))
+    columns = [c for c in records.columns if c not in ("stages", "target_present")]
+    out = with_stages(records).select(*columns, F.col("derived")["body"].alias("target_present"), F.col("derived").alias("stages"))
+    write_json_lines(out, path, out.columns)

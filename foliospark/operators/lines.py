@@ -93,3 +93,24 @@ def split_references(lines: DataFrame) -> DataFrame:
     first = lines.where(F.col("text").rlike(P.REFERENCE_HEADING)).groupBy("doc_id").agg(F.min(place).alias("_first"))
     part = F.when(F.col("_first").isNull() | (place < F.col("_first")), "body").when(place == F.col("_first"), "title").otherwise("reference")
     return lines.join(first, "doc_id", "left").withColumn("part", part).drop("_first")
+
+
+def line_issues(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, code, n) of what happened to the lines (marked ones) of ``pages``.
+
+    glyphs_repaired (places), glyphs_broken (characters that stay unreadable), numbered_pages (that lost line
+    numbers), running_lines (headers and footers by kind), page_numbers, references_not_found. Codes that
+    don't apply have no row.
+    """
+    coded = lambda d, code, n: d.select("doc_id", F.lit(code).alias("code"), n.cast("long").alias("n"))
+    repairs = pages.where("text IS NOT NULL").groupBy("doc_id").agg(F.sum(X.repair_glyphs(F.col("text"))[1]).alias("k")).where("k > 0")
+    per_doc = lines.groupBy("doc_id").agg(
+        F.sum(X.broken_glyphs(F.col("text"))).alias("broken"), F.count_distinct(F.when(F.col("numbered"), F.col("page"))).alias("numbered"),
+    )
+    found = drop_running(lines).groupBy("doc_id").agg(F.max(F.col("text").rlike(P.REFERENCE_HEADING)).alias("found"))
+    every = lines.select("doc_id").distinct().join(found, "doc_id", "left").where("NOT coalesce(found, false)")
+    out = [coded(repairs, "glyphs_repaired", F.col("k")), coded(per_doc.where("broken > 0"), "glyphs_broken", F.col("broken")), coded(per_doc.where("numbered > 0"), "numbered_pages", F.col("numbered"))]
+    out += [coded(running_keys(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")), "running_lines", F.col("k")), coded(page_offsets(lines), "page_numbers", F.lit(1)), coded(every, "references_not_found", F.lit(1))]
+    for x in out[1:]:
+        out[0] = out[0].unionByName(x)
+    return out[0]

@@ -38,3 +38,15 @@ def manifest_counts(entries: DataFrame) -> DataFrame:
     plain = entries.select(one.alias("x")).select("x.*")
     fields = entries.select(F.lit("subfield").alias("dimension"), F.explode("subfields").alias("value"))
     return plain.unionByName(fields).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def candidates(entries: DataFrame, first_year: int, last_year: int, keywords: tuple[str, ...], licences: tuple[str, ...] = ("cc by",), journals: tuple[str, ...] = ()) -> DataFrame:
+    """The entries that a search asks for: years, licences, journals (any if none is named), an archive number, and one of the
+    keywords in the title. All of it but the keywords reaches the scan as pushed filters."""
+    d = entries.where(F.col("pub_year").between(first_year, last_year) & F.col("license").isin(*licences) & F.col("pmcid").isNotNull() & (F.col("pmcid") != ""))
+    d = d.where(F.col("journal").isin(*journals)) if journals else d
+    title = F.lower("title")
+    hit = F.lit(False)
+    for w in keywords:
+        hit = hit | F.contains(title, F.lit(w))
+    return d.where(hit) if keywords else d

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.operators.scale import smallest_keys, unit_key
+from foliospark.operators.scale import running_totals, smallest_keys, unit_key
 
 
 def allocate(sizes: DataFrame, n: int, name: str) -> DataFrame:
@@ -24,9 +24,14 @@ def allocate(sizes: DataFrame, n: int, name: str) -> DataFrame:
 
 
 def queues(rows: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
-    """Adds ``place``: the place of each row in its stratum's random order, whatever the order of the input."""
-    w = Window.partitionBy(*strata).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key)), 256), key)
-    return rows.withColumn("place", F.row_number().over(w))
+    """Adds ``place``: the place of each row in its stratum's random order, whatever the order of the input.
+
+    The order is that of a SHA-256 of seed and key; its first digits cut each stratum into slices, so that
+    a large stratum is ranked in many tasks.
+    """
+    d = rows.withColumn("_sha", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key)), 256))
+    d = d.withColumn("_u", F.conv(F.substring("_sha", 1, 12), 16, 10).cast("double") / F.lit(float(16**12)))
+    return running_totals(d, strata, "_u", ["_sha", key], F.lit(1), "_before").withColumn("place", (F.col("_before") + 1).cast("int")).drop("_sha", "_u", "_before")
 
 
 def draw(rows: DataFrame, strata: list[str], key: str, n: int, seed: int, have: DataFrame | None = None) -> DataFrame:

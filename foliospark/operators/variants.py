@@ -20,11 +20,18 @@ PROMPTS = {
 
 
 def find_targets(seg: DataFrame, paragraphs: int = P.TARGET_PARAGRAPHS, least: int = P.TARGET_WORDS) -> DataFrame:
-    """(doc_id, locs, paragraphs): the first body segments of a document's introduction, where all are long enough and hold
-    no formula. Documents without such an introduction have no row."""
-    d = seg.where("kind = 'body'").where(F.col("section").rlike(P.INTRODUCTION))
-    d = d.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("seg_order"))).where(F.col("n") <= paragraphs)
+    """(doc_id, locs, paragraphs): the first paragraphs of a document's introduction, where all are long enough and hold no formula.
+
+    The introduction is the first section of the body with such a title; later ones aren't tried. Of XML
+    only its own paragraphs count, not those of lists or nested sections. Other documents have no row.
+    """
+    xml = F.col("loc").rlike(r"^body\[1\]/")
+    d = seg.where(F.col("section").rlike(P.INTRODUCTION) & F.col("kind").isin("body", "heading"))
+    d = d.withColumn("_sec", F.when(xml, F.regexp_extract("loc", r"^(body\[1\]/sec\[\d+\])/(?:title|p)\[\d+\]$", 1)).otherwise(F.col("section"))).where("_sec <> ''")
+    first = d.groupBy("doc_id").agg(F.min_by("_sec", "seg_order").alias("_first"))
+    d = d.where("kind = 'body'").join(first, "doc_id").where("_sec = _first")
     good = (X.word_count(F.col("text")) >= least) & ~F.col("text").contains(P.PLACEHOLDER)
+    d = d.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("seg_order"))).where(F.col("n") <= paragraphs)
     g = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.bool_and(good).alias("good"), F.sort_array(F.collect_list(F.struct("seg_order", "loc", "text"))).alias("p"))
     return g.where((F.col("k") == paragraphs) & F.col("good")).select("doc_id", F.col("p.loc").alias("locs"), F.col("p.text").alias("paragraphs"))
 
@@ -115,3 +122,8 @@ def check_changes(built: DataFrame, originals: DataFrame) -> DataFrame:
     each = each.select("variant_id", "act", word_similarity(F.col("p.before"), F.col("p.paragraphs")).alias("s"), (F.size(X.sentences(F.col("p.paragraphs"))) - F.size(X.sentences(F.col("p.before")))).alias("d"))
     g = each.groupBy("variant_id", "act").agg(F.avg("s").alias("similarity"), F.sum("d").alias("sentence_delta"))
     return relabel(g).withColumn("similarity", F.bround("similarity", 3))
+
+
+def estimated_cost(usage: Column, input_price: float, output_price: float) -> Column:
+    """Cost of an answer by its tokens (usage: input_tokens, output_tokens) at prices per million; null where usage is null."""
+    return (usage["input_tokens"] * F.lit(input_price) + usage["output_tokens"] * F.lit(output_price)) / F.lit(1e6)

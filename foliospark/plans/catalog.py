@@ -38,16 +38,24 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return one.select("doc_id", "seg_order", *[f"m.{c}" for c in cols], F.map_from_entries("m.entries").alias("traces"))
 
 
-def _pages(spark: SparkSession, d: str) -> DataFrame:
+def _pages(spark: SparkSession, d: str, size: int = PAGE_LINES) -> DataFrame:
     """Documents as pages of a dozen lines each; a document without text is a failed page."""
     t = table(spark, d, "documents").select("doc_id", X.lines(F.col("text")).alias("l"))
-    p = t.select("doc_id", F.posexplode_outer(F.expr(f"transform(sequence(0, (size(l) - 1) div {PAGE_LINES}), i -> array_join(slice(l, i * {PAGE_LINES} + 1, {PAGE_LINES}), '\\n'))")).alias("i", "text"))
+    p = t.select("doc_id", F.posexplode_outer(F.expr(f"transform(sequence(0, (size(l) - 1) div {size}), i -> array_join(slice(l, i * {size} + 1, {size}), '\\n'))")).alias("i", "text"))
     return p.select("doc_id", (F.coalesce("i", F.lit(0)) + 1).alias("page"), "text")
 
 
-def _plain_lines(spark: SparkSession, d: str) -> DataFrame:
+def _framed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of three lines, each with a header and a page number, and in every fifth document a line of broken glyphs."""
+    header, number = F.concat(F.lit("Notes on Plants "), (F.col("doc_id") % 7).cast("string"), F.lit(", "), F.col("page").cast("string")), (F.col("page") + F.col("doc_id") % 5).cast("string")
+    glyphs = F.when(F.col("doc_id") % 5 == 0, "as de\ue103ned at 40 /C14 C\n").otherwise("")
+    return _pages(spark, d, 3).where("text IS NOT NULL").select("doc_id", "page", F.concat(header, F.lit("\n"), glyphs, F.col("text"), F.lit("\n"), number).alias("text"))
+
+
+def _plain_lines(spark: SparkSession, d: str, framed: bool = False) -> DataFrame:
     """Lines without NFKC, as SQL can't normalise."""
-    return cut_lineage(N.mark_edges(N.strip_line_numbers(N.split_pages(_pages(spark, d), normalise=False))))
+    pages = _framed_pages(spark, d) if framed else _pages(spark, d)
+    return cut_lineage(N.mark_edges(N.strip_line_numbers(N.split_pages(pages, normalise=False))))
 
 
 def _read_segments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -207,11 +215,12 @@ for _bad, _good in P.LIGATURES.items():
     _REPAIRED = f"replace(regexp_replace({_REPAIRED}, '([A-Za-z]) ?{_bad} ?([a-z])', '\\1{_good}\\2', 'g'), '{_bad}', '{_good}')"
 for _bad, _good in P.SYMBOLS.items():
     _REPAIRED = f"replace({_REPAIRED}, '{_bad}', '{_good}')"
-_REPAIRED = f"CASE WHEN bool_or(regexp_matches(raw, '{P.GLYPH_SIGNATURE}')) OVER (PARTITION BY doc_id, i // {PAGE_LINES}) THEN {_REPAIRED} ELSE raw END"
+_REPAIRED = f"CASE WHEN bool_or(regexp_matches(raw, '{P.GLYPH_SIGNATURE}')) OVER (PARTITION BY doc_id, page) THEN {_REPAIRED} ELSE raw END"
 
 _PAGES = rf"""
-WITH l0 AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS raw, unnest(range(len(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
-l1 AS (SELECT doc_id, CAST(i // {PAGE_LINES} + 1 AS INT) AS page, CAST(i % {PAGE_LINES} AS INT) AS line, raw, {_strip('raw')} AS x, regexp_extract(raw, '^[{_SP}]*(\d{{1,4}})[{_SP}]+[^{_SP}]', 1) AS num FROM (SELECT doc_id, i, {_REPAIRED} AS raw FROM l0)),
+WITH l00 AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS raw, unnest(range(len(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+l0 AS (SELECT doc_id, CAST(i // {PAGE_LINES} + 1 AS INT) AS page, CAST(i % {PAGE_LINES} AS INT) AS line, raw FROM l00),
+l1 AS (SELECT doc_id, page, line, raw, {_strip('raw')} AS x, regexp_extract(raw, '^[{_SP}]*(\d{{1,4}})[{_SP}]+[^{_SP}]', 1) AS num FROM (SELECT doc_id, page, line, {_REPAIRED} AS raw FROM l0)),
 l2 AS (SELECT *, CASE WHEN x <> '' AND num <> '' THEN CAST(num AS INT) END AS n FROM l1),
 l3 AS (SELECT *, n - last_value(n IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step FROM l2),
 l4 AS (SELECT *, count(*) FILTER (WHERE x <> '') OVER p >= 10 AND count(n) OVER p >= 0.7 * count(*) FILTER (WHERE x <> '') OVER p AND count(*) FILTER (WHERE step = 1) OVER p >= 0.8 * (count(n) OVER p - 1) AS numbered FROM l3 WINDOW p AS (PARTITION BY doc_id, page)),
@@ -221,6 +230,13 @@ l7 AS (SELECT *, x <> '' AND (count(*) FILTER (WHERE x <> '') OVER (PARTITION BY
 """
 
 
+# The same with framed pages.
+_PAGE = f"CAST(i // {PAGE_LINES} + 1 AS INT) AS page, CAST(i % {PAGE_LINES} AS INT) AS line"
+_FRAMED = _PAGES.replace(f"l0 AS (SELECT doc_id, {_PAGE}, raw FROM l00),", """lp AS (SELECT doc_id, CAST(i // 3 + 1 AS INT) AS page, CAST(i % 3 + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS INT) AS line, raw FROM l00),
+l0 AS (SELECT doc_id, page, line, raw FROM lp UNION ALL SELECT DISTINCT doc_id, page, 0, 'Notes on Plants ' || (doc_id % 7) || ', ' || page FROM lp
+  UNION ALL SELECT DISTINCT doc_id, page, 1, 'as de\ue103ned at 40 /C14 C' FROM lp WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, page, CAST(max(line) + 1 AS INT), CAST(page + doc_id % 5 AS VARCHAR) FROM lp GROUP BY 1, 2),""")
+
+
 @query(_PAGES + "SELECT doc_id, page, line, numbered, edge FROM l7")
 def line_marks(spark, d):
     return _plain_lines(spark, d).select("doc_id", "page", "line", "numbered", "edge")
@@ -234,20 +250,49 @@ kept AS (SELECT l7.* FROM l7 LEFT JOIN rk ON rk.doc_id = l7.doc_id AND rk.key =
   WHERE NOT (edge AND (rk.key IS NOT NULL OR coalesce(x = CAST(page + shift AS VARCHAR), false))))"""
 
 
-@query(_PAGES + _RUNNING + " SELECT doc_id, key FROM rk")
+@query(_FRAMED + _RUNNING + " SELECT doc_id, key FROM rk")
 def running_lines(spark, d):
-    return N.running_keys(_plain_lines(spark, d))
+    return N.running_keys(_plain_lines(spark, d, framed=True))
 
 
-@query(_PAGES + _RUNNING + " SELECT doc_id, CAST(shift AS INT) AS shift FROM po")
+@query(_FRAMED + _RUNNING + " SELECT doc_id, CAST(shift AS INT) AS shift FROM po")
 def page_number_shift(spark, d):
-    return N.page_offsets(_plain_lines(spark, d))
+    return N.page_offsets(_plain_lines(spark, d, framed=True))
+
+
+@query(_FRAMED + _RUNNING + " SELECT doc_id, page, line, text FROM kept")
+def kept_lines(spark, d):
+    return N.drop_running(_plain_lines(spark, d, framed=True)).select("doc_id", "page", "line", "text")
 
 
 _REFS = rf""", rf AS (SELECT doc_id, min(page * 100000 + line) AS pos FROM kept WHERE regexp_matches(text, '(?i)^[{_SP}]*(\d+\.?[{_SP}]*)?(references|bibliography|literature\s+cited|참고\s*문헌)[{_SP}]*$') GROUP BY 1),
 parts AS (SELECT kept.*, CASE WHEN pos IS NULL OR page * 100000 + line < pos THEN 'body' WHEN page * 100000 + line = pos THEN 'title' ELSE 'reference' END AS part FROM kept LEFT JOIN rf USING (doc_id))"""
 
 
+_BROKEN = r"[\p{Co}�□\x00-\x08\x0b\x0e-\x1f\x7f-\x{9f}]"  # BROKEN_GLYPH without unassigned characters, which RE2 can't name
+_SIGNS = "+".join(_n("raw", x) for x in (*P.LIGATURES, *P.SYMBOLS))
+
+
+@query(
+    _FRAMED + _RUNNING + _REFS + f""", gl AS (SELECT doc_id, page, CAST(sum({_SIGNS}) AS BIGINT) AS n FROM l0 GROUP BY 1, 2 HAVING bool_or(regexp_matches(raw, '{P.GLYPH_SIGNATURE}')))
+SELECT doc_id, 'glyphs_repaired' AS code, CAST(sum(n) AS BIGINT) AS n FROM gl GROUP BY 1
+UNION ALL SELECT doc_id, 'glyphs_broken', n FROM (SELECT doc_id, CAST(sum({_n('text', _BROKEN)}) AS BIGINT) AS n FROM l7 GROUP BY 1) WHERE n > 0
+UNION ALL SELECT doc_id, 'numbered_pages', count(DISTINCT page) FROM l7 WHERE numbered GROUP BY 1
+UNION ALL SELECT doc_id, 'running_lines', count(*) FROM rk GROUP BY 1
+UNION ALL SELECT doc_id, 'page_numbers', 1 FROM po
+UNION ALL SELECT DISTINCT doc_id, 'references_not_found', 1 FROM l7 WHERE doc_id NOT IN (SELECT doc_id FROM rf)"""
+)
+def line_issues(spark, d):
+    return N.line_issues(_framed_pages(spark, d), _plain_lines(spark, d, framed=True))
+
+
+@query()
+def page_issues(spark, d):
+    pages = _pages(spark, d)
+    seg, lines = G.read_pages(pages)
+    return N.line_issues(pages, lines).unionByName(A.segment_issues(seg, N.failed_pages(pages)))
+
+
 @query(_PAGES + _RUNNING + _REFS + " SELECT doc_id, page, line, part FROM parts")
 def line_parts(spark, d):
     return N.split_references(N.drop_running(_plain_lines(spark, d))).select("doc_id", "page", "line", "part")
@@ -490,9 +535,21 @@ def planned_tasks(spark, d):
     return V.plan_tasks(table(spark, d, "targets").distinct(), ("alpha", "beta"), SEED)
 
 
-@query()
+_PATH = r"^(body\[1\]/sec\[\d+\])/(?:title|p)\[\d+\]$"
+
+
+@query(
+    f"""WITH {_ONE_SEGMENT}, t AS (SELECT doc_id, seg_order, m.kind AS kind, m.section AS section, m.loc AS loc, repeat(m.text || ' ', 4) AS text FROM seg),
+s AS (SELECT *, CASE WHEN regexp_matches(loc, '^body\\[1\\]/') THEN regexp_extract(loc, '{_PATH}', 1) ELSE section END AS sec FROM t WHERE regexp_matches(section, '{P.INTRODUCTION}') AND kind IN ('body', 'heading')),
+f AS (SELECT doc_id, arg_min(sec, seg_order) AS first_sec FROM s WHERE sec <> '' GROUP BY 1),
+b AS (SELECT s.*, row_number() OVER (PARTITION BY doc_id ORDER BY seg_order) AS n FROM s JOIN f USING (doc_id) WHERE kind = 'body' AND sec = first_sec),
+g AS (SELECT doc_id, count(*) AS k, bool_and({_WORDS} >= {P.TARGET_WORDS} AND NOT contains(text, '[FORMULA]')) AS good, string_agg(loc, ',' ORDER BY seg_order) AS locs FROM b WHERE n <= {P.TARGET_PARAGRAPHS} GROUP BY 1)
+SELECT doc_id, coalesce(locs, '') AS locs FROM g WHERE k = {P.TARGET_PARAGRAPHS} AND good"""
+)
 def found_targets(spark, d):
-    return V.find_targets(_segments(spark, d), least=20)
+    """Texts are taken four times over, as those of the tables are too short."""
+    s = _segments(spark, d).withColumn("text", F.repeat(F.concat("text", F.lit(" ")), F.lit(4)))
+    return V.find_targets(s).select("doc_id", F.array_join("locs", ",").alias("locs"))
 
 
 _ABBR_SQL = "|".join(a.replace(".", r"\.") for a in P.ABBREVIATIONS)
@@ -583,6 +640,46 @@ def broken_xml(spark, d):
     return bad.select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
+def _rich_articles(spark, d):
+    """Articles with everything that an article may hold, made of the targets; ``{t}`` stands for the title."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    xml = (
+        "<article><front><abstract abstract-type='graphical'><p>left out</p></abstract><abstract><p>{t} in brief</p>{subs}</abstract></front><body><sec><title>1. Introduction</title>"
+        "<p>{t} with <inline-formula>k</inline-formula> and<table-wrap><p>inner {t}</p></table-wrap> after</p><list><list-item>first {t}</list-item><list-item>second {t}</list-item></list>"
+        "<disp-formula>x</disp-formula><table-wrap><p>table {t}</p></table-wrap><fig><p>figure {t}</p></fig><boxed-text><p>left out</p></boxed-text>"
+        "<sec><title>1.1. Scope</title><p>scope {t}</p></sec><sec sec-type='ack'><p>thanks {t}</p></sec></sec>"
+        "<sec><title>Acknowledgements</title><p>thanks again {t}</p><p>holds<list><list-item>item {t}</list-item></list></p><sec><title>More</title><p>more {t}</p></sec></sec></body>"
+        "<back><ack><p>left out</p></ack><ref-list><ref>one {t}</ref><ref>two {t}</ref></ref-list></back></article>"
+    )
+    t = table(spark, d, "targets").select("seed_id", "title").distinct()
+    subs = F.repeat(F.lit("<sub>2</sub>"), F.length("title") % 4)
+    return t.select(F.col("seed_id").alias("doc_id"), F.replace(F.replace(F.lit(xml), F.lit("{subs}"), subs), F.lit("{t}"), esc(F.coalesce("title", F.lit("")))).alias("content"))
+
+
+_RICH = [
+    ("body", "{t} in brief", "Abstract", "front[1]/abstract[2]/p[1]"), ("heading", "1. Introduction", "1. Introduction", "body[1]/sec[1]/title[1]"), ("body", "{t} with [FORMULA] and after", "1. Introduction", "body[1]/sec[1]/p[1]"), ("table", "inner {t}", "1. Introduction", "body[1]/sec[1]/p[1]/table-wrap[1]"),
+    ("body", "first {t}", "1. Introduction", "body[1]/sec[1]/list[1]/list-item[1]"), ("body", "second {t}", "1. Introduction", "body[1]/sec[1]/list[1]/list-item[2]"), ("formula", "[FORMULA]", "1. Introduction", "body[1]/sec[1]/disp-formula[1]"), ("table", "table {t}", "1. Introduction", "body[1]/sec[1]/table-wrap[1]"),
+    ("caption", "figure {t}", "1. Introduction", "body[1]/sec[1]/fig[1]"), ("heading", "1.1. Scope", "1.1. Scope", "body[1]/sec[1]/sec[1]/title[1]"), ("body", "scope {t}", "1.1. Scope", "body[1]/sec[1]/sec[1]/p[1]"), ("back_matter", "thanks {t}", "1. Introduction", "body[1]/sec[1]/sec[2]/p[1]"),
+    ("heading", "Acknowledgements", "Acknowledgements", "body[1]/sec[2]/title[1]"), ("back_matter", "thanks again {t}", "Acknowledgements", "body[1]/sec[2]/p[1]"), ("back_matter", "holds", "Acknowledgements", "body[1]/sec[2]/p[2]"), ("body", "item {t}", "Acknowledgements", "body[1]/sec[2]/p[2]/list[1]/list-item[1]"),
+    ("heading", "More", "More", "body[1]/sec[2]/sec[1]/title[1]"), ("back_matter", "more {t}", "More", "body[1]/sec[2]/sec[1]/p[1]"), ("reference", "one {t}", "References", "back[1]/ref-list[1]/ref[1]"), ("reference", "two {t}", "References", "back[1]/ref-list[1]/ref[2]"),
+]
+_RICH_ROWS = ", ".join(f"({i}, '{k}', '{t}', '{sec}', '{loc}')" for i, (k, t, sec, loc) in enumerate(_RICH))
+
+
+@query(
+    f"WITH a AS (SELECT DISTINCT seed_id, coalesce(title, '') AS title FROM targets), r AS (SELECT * FROM (VALUES {_RICH_ROWS}) AS v(seg_order, kind, t, section, loc)) "
+    f"SELECT seed_id AS doc_id, CAST(seg_order AS INT) AS seg_order, kind, {_strip(f"regexp_replace(replace(t, '{{t}}', title), '[{_SP}]+', ' ', 'g')")} AS text, section, loc FROM a CROSS JOIN r"
+)
+def jats_structure(spark, d):
+    seg, _ = jats.read_jats(_rich_articles(spark, d))
+    return seg.select("doc_id", "seg_order", "kind", "text", "section", "loc")
+
+
+@query("SELECT DISTINCT seed_id AS doc_id, CAST(length(title) % 4 AS INT) AS subscripts FROM targets")
+def abstract_subscripts(spark, d):
+    return jats.abstract_subscripts(_rich_articles(spark, d))
+
+
 @query(f"WITH a AS (SELECT DISTINCT * FROM targets), p AS (SELECT seed_id AS doc_id, unnest(range(1, len(paragraphs) + 1)) AS n, upper(unnest(paragraphs)) AS t FROM a) SELECT doc_id, CAST(n AS INT) AS n, {_CLEAN} AS text FROM p WHERE coalesce({_CLEAN}, '') <> ''")
 def spliced_articles(spark, d):
     a = _articles(spark, d)
@@ -604,8 +701,36 @@ def json_round_trip(spark, d):
     return ok.select("doc_id", "bundle_id", "pub_year", "journal", F.array_join("subfields", ",").alias("subfields"))
 
 
-@query("SELECT event_id, CASE WHEN NOT json_valid(props) THEN 'not_json' WHEN json_type(props) <> 'OBJECT' THEN 'not_an_object' ELSE 'unknown_key' END AS code FROM events WHERE props IS NOT NULL AND trim(props) <> '' AND (NOT json_valid(props) OR json_type(props) <> 'OBJECT' OR len(list_filter(json_keys(props), lambda k: k <> 'k')) > 0)")
+_SPOILT = "CASE event_id % 5 WHEN 0 THEN props || '}' WHEN 1 THEN '[' || props || ']' WHEN 2 THEN '{\"z\": 1}' ELSE props END"
+
+
+@query(f"WITH s AS (SELECT event_id, {_SPOILT} AS props FROM events) SELECT event_id, CASE WHEN NOT json_valid(props) THEN 'not_json' WHEN json_type(props) <> 'OBJECT' THEN 'not_an_object' ELSE 'unknown_key' END AS code FROM s WHERE props IS NOT NULL AND trim(props) <> '' AND (NOT json_valid(props) OR json_type(props) <> 'OBJECT' OR len(list_filter(json_keys(props), lambda k: k <> 'k')) > 0)")
 def json_errors(spark, d):
-    e = table(spark, d, "events").where("props IS NOT NULL").select(F.col("event_id").alias("line_no"), F.lit("events").alias("file"), F.col("props").alias("value"))
+    e = table(spark, d, "events").select("event_id", F.expr(_SPOILT).alias("props")).where("props IS NOT NULL").select(F.col("event_id").alias("line_no"), F.lit("events").alias("file"), F.col("props").alias("value"))
     _, bad = files.parse_lines(e, T.StructType([T.StructField("k", T.StringType())]), [])
     return bad.select(F.col("line_no").alias("event_id"), "code")
+
+
+@query("SELECT count(*) AS records, CAST(coalesce((SELECT sum(n) FROM (" + SQL["label_errors"] + ")), 0) AS BIGINT) AS errors, coalesce((SELECT sum(n) FROM (" + SQL["label_errors"] + ")), 0) = 0 AS ok FROM label_records")
+def labels_ok(spark, d):
+    r = _labels(spark, d)
+    n = L.label_errors(r).agg(F.count(F.lit(1)).alias("errors"))
+    return r.agg(F.count(F.lit(1)).alias("records")).join(n, F.lit(True)).withColumn("ok", F.col("errors") == 0)  # one row each
+
+
+#: Prices per million tokens of the cost estimate.
+PRICES = (1.25, 10.0)
+
+
+@query("WITH " + _LATEST + f" SELECT model, round(sum(cost_usd), 4) AS spent, round(sum((usage.input_tokens * {PRICES[0]} + usage.output_tokens * {PRICES[1]}) / 1000000.0), 4) AS estimated FROM lo GROUP BY 1")
+def output_costs(spark, d):
+    o = V.latest(table(spark, d, "outputs_openai"))
+    return o.groupBy("model").agg(F.round(F.sum("cost_usd"), 4).alias("spent"), F.round(F.sum(V.estimated_cost(F.col("usage"), *PRICES)), 4).alias("estimated"))
+
+
+_WORDS_WANTED = ("reactor", "membrane", "flow", "adsorption")
+
+
+@query("SELECT DISTINCT doc_id FROM manifest WHERE pub_year BETWEEN 2015 AND 2021 AND license = 'cc by' AND coalesce(pmcid, '') <> '' AND (" + " OR ".join(f"contains(lower(title), '{w}')" for w in _WORDS_WANTED) + ")")
+def remote_candidates(spark, d):
+    return M.candidates(table(spark, d, "manifest"), 2015, 2021, _WORDS_WANTED).select("doc_id").distinct()

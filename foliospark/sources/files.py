@@ -45,7 +45,9 @@ def parse_lines(lines: DataFrame, schema: T.StructType, required: list[str]) ->
     """
     d = lines.where(F.regexp_replace("value", r"[\s  -    　]+", "") != "")
     known = F.array(*[F.lit(f.name) for f in schema])
-    parsed = F.try_parse_json(F.col("value"))
+    # The parser stops behind the first value: what follows it shows when the line stands in an array and in an object.
+    alone = F.try_parse_json(F.concat(F.lit('{"v":'), "value", F.lit("}"))).isNotNull() & (F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1)
+    parsed = F.when(alone, F.try_parse_json(F.col("value")))
     keys = F.json_object_keys("value")
     code = (
         F.when(parsed.isNull(), "not_json")

@@ -151,3 +151,21 @@ def read_jats(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = files.select(F.col("doc_id").cast("string"), F.col("content").cast("string")).mapInPandas(_read, _ROWS)
     seg = rows.where("kind IS NOT NULL").drop("broken_line").withColumn("traces", X.format_traces(F.col("text")))
     return seg, rows.where("broken_line IS NOT NULL").select("doc_id", "broken_line")
+
+
+def abstract_subscripts(files: DataFrame) -> DataFrame:
+    """(doc_id, subscripts): elements ``sub`` within abstracts of ``files`` (doc_id, content), each once; null for broken XML."""
+
+    @F.pandas_udf("int")
+    def count(contents: pd.Series) -> pd.Series:
+        out = []
+        for c in contents:
+            try:
+                doc = Located(c or "")
+            except ET.ParseError:
+                out.append(None)
+                continue
+            out.append(sum(plain_name(el) == "sub" and "/abstract[" in f"/{place}" for el, place in doc.place.items()))
+        return pd.Series(out, dtype="Int32")
+
+    return files.select("doc_id", count(F.col("content").cast("string")).alias("subscripts"))

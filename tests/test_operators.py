@@ -293,3 +293,41 @@ def test_spanning_forest_connects_what_the_edges_connect(spark):
     assert {frozenset(n for n in root if root[n] == r) for r in root.values()} == groups(edges)
     empty, none = spanning_forest(spark.createDataFrame([("x", "x")], "a string, b string"))
     assert empty.count() == 0 and none.count() == 0
+
+
+def test_target_is_in_the_first_introduction(spark):
+    long = "word " * 60
+    at = lambda sec, what, n: f"body[1]/sec[{sec}]/{what}[{n}]"
+    rows = [("a", 0, "heading", "Introduction", at(1, "title", 1), "Introduction")] + [("a", i, "body", "Introduction", at(1, "p", i), long) for i in (1, 2)] + [("a", 3 + i, "body", "Introduction", at(4, "p", i), long) for i in (1, 2, 3)]
+    rows += [("b", 0, "body", "1 Introduction", at(2, "list", 1) + "/list-item[1]", long), ("b", 1, "body", "1 Introduction", "body[1]/sec[2]/sec[1]/p[1]", long)] + [("b", 1 + i, "body", "1 Introduction", at(2, "p", i), long) for i in (1, 2, 3, 4)]
+    got = variants.find_targets(spark.createDataFrame(rows, "doc_id string, seg_order int, kind string, section string, loc string, text string")).collect()
+    assert [(r["doc_id"], r["locs"]) for r in got] == [("b", [at(2, "p", i) for i in (1, 2, 3)])]
+
+
+def test_labels_are_saved_only_if_all_are_right(spark, tmp_path):
+    schema = "doc_id string, bundle_id string, truth_basis string, acts array<string>, spans array<struct<act:string,loc:string,lang:string>>, rest_basis string, target_present string, stages map<string,string>"
+    good, bad = ("a", "b-1", "A", ["rewriting"], [("rewriting", "p1:L0-1", "en")], None, None, None), ("c", "", "D", ["rewriting"], [], None, "yes", None)
+    with pytest.raises(ValueError, match="c: bundle_id_blank"):
+        labels.save_labels(spark.createDataFrame([good, bad], schema), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+    labels.save_labels(spark.createDataFrame([good], schema), str(tmp_path / "out"))
+    (line,) = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert '"target_present":"yes"' in line and '"ai_polishing":"no"' in line
+
+
+def test_issues_of_pages(spark):
+    frame = lambda n, text: f"Head of all {n}\n{text}\nmore\nand more\n{n + 4}"
+    pages = [("a", n, frame(n, "de\ue103ned \ue200 thing" if n == 1 else "plain text")) for n in (1, 2, 3)] + [("a", 4, None), ("b", 1, "References\n1 One."), ("c", 1, None)]
+    pages = spark.createDataFrame(pages, "doc_id string, page int, text string")
+    seg, marked = paragraphs.read_pages(pages)
+    got = {(r["doc_id"], r["code"]): r["n"] for r in lines.line_issues(pages, marked).unionByName(assess.segment_issues(seg, lines.failed_pages(pages))).collect()}
+    want = {("a", "glyphs_repaired"): 1, ("a", "glyphs_broken"): 1, ("a", "running_lines"): 2, ("a", "page_numbers"): 1, ("a", "references_not_found"): 1, ("a", "front_not_found"): 1, ("a", "out_of_scope"): 1, ("a", "failed_pages"): 1}
+    assert want.items() <= got.items() and ("b", "references_not_found") not in got and got[("c", "no_body")] == 1
+
+
+def test_json_lines_with_something_behind(spark):
+    from pyspark.sql import types as T
+
+    rows = [(i, v) for i, v in enumerate(['{"k": "a"}', '{"k": "a"}}', '{"k": "a"} x', '{"k": "a"}]', '{"k": "a"}, {"k": "b"}', '{"k": "a"'])]
+    ok, bad = files.parse_lines(spark.createDataFrame([("f", i, v) for i, v in rows], "file string, line_no int, value string"), T.StructType([T.StructField("k", T.StringType())]), [])
+    assert [r["line_no"] for r in ok.collect()] == [0] and {r["line_no"]: r["code"] for r in bad.collect()} == {i: "not_json" for i in range(1, 6)}
