@@ -19,6 +19,10 @@ from foliospark.session import cut_lineage
 from foliospark.sources.tables import table
 
 
+#: Parts into which the members of a spelling are spread.
+SALTS = 16
+
+
 def _digest(s: str) -> bytes:
     return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
@@ -94,12 +98,24 @@ def look_alikes(segments: DataFrame) -> DataFrame:
     # Spellings are paired before their members: equal texts, however many, never meet each other.
     spellings = f.join(several, "form").select("form", "raw").distinct()
     unlike = spellings.select("form", F.col("raw").alias("ra")).join(spellings.select("form", F.col("raw").alias("rb")), "form").where("ra < rb").drop("form")
-    a = f.select(F.col("raw").alias("ra"), F.col("id").alias("a"))
-    b = f.select(F.col("raw").alias("rb"), F.col("id").alias("b"))
-    pairs = unlike.join(a, "ra").join(b, "rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # A spelling may be that of a third of all segments: its members are spread over SALTS tasks, the few spellings go to each.
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    a = f.select(F.col("raw").alias("ra"), F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("sa"))
+    b = f.select(F.col("raw").alias("rb"), F.col("id").alias("b"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("sb"))
+    pairs = unlike.withColumn("sa", salt).join(a, ["ra", "sa"]).withColumn("sb", salt).join(b, ["rb", "sb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.select(F.col("a.doc_id").alias("doc_id_a"), F.col("a.seg_order").alias("seg_order_a"), F.col("b.doc_id").alias("doc_id_b"), F.col("b.seg_order").alias("seg_order_b"))
 
 
+def classes(segments: DataFrame) -> DataFrame:
+    """(doc_id, seg_order, class_id, links): one row per body segment that looks like others of other characters, with how many
+    those are; segments of a class look the same. Copies aren't expanded into pairs."""
+    f = cut_lineage(forms(segments))
+    spelled = f.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("n"))
+    several = spelled.groupBy("form").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("spellings")).where("spellings > 1")
+    d = f.join(spelled, ["form", "raw"]).join(several, "form")
+    return d.select("id.doc_id", "id.seg_order", F.lower(F.hex("form")).alias("class_id"), (F.col("members") - F.col("n")).alias("links"))
+
+
 _EVERY = "id struct<doc_id:string,seg_order:int>, raw binary, folded string, words array<string>"
 
 
@@ -138,5 +154,9 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent(table(spark, sf_dir, "segments"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "segments"))
+
+
 SQL: dict[str, str] = {}
-QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms}
+QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms, "p5_classes": p5_classes}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import itertools
 from array import array
 from collections.abc import Iterator
@@ -205,9 +206,34 @@ def encoded(documents: DataFrame, path: str, key: str = "doc_id", text: str = "t
     return documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
+def chunk_reuse(documents: DataFrame, path: str) -> DataFrame:
+    """(chunks, distinct_chunks, bytes, repeated_bytes): one row that says how much of the texts stands in chunks that occur
+    again, which is what reuse can save at most. Chunks are counted by digest over the whole corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            texts = [t.encode() for t in b.column(0).to_pylist() if t]
+            data = b"".join(texts)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            at, _ = enc.cuts(data, np.cumsum(sizes) - sizes) if data else (np.zeros(0, int), None)
+            bounds = [*at.tolist(), len(data)]
+            digests = [hashlib.blake2b(data[f:e], digest_size=16).digest() for f, e in itertools.pairwise(bounds)]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.diff(bounds), pa.int64())], names=["chunk", "size"])
+
+    found = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "chunk binary, size long")
+    one = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return one.agg(total(F.col("n")).alias("chunks"), F.count(F.lit(1)).alias("distinct_chunks"), total(F.col("n") * F.col("size")).alias("bytes"), total((F.col("n") - 1) * F.col("size")).alias("repeated_bytes"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def p7_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_reuse(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 SQL: dict[str, str] = {}
-QUERIES = {"p7_ids": p7_ids}
+QUERIES = {"p7_ids": p7_ids, "p7_reuse": p7_reuse}

@@ -289,6 +289,8 @@ def test_look_alikes(spark):
     alike = {"a": base, "b": 1, "c": 2, "d": base, "e": 3}
     assert got == {(x, 1, y, 1) for x in alike for y in alike if x < y and alike[x] != alike[y]}
     assert p5_forms.look_alikes(spark.createDataFrame([], schema)).count() == 0
+    by_class = {r["doc_id"]: (r["class_id"], r["links"]) for r in p5_forms.classes(spark.createDataFrame(rows, schema)).collect()}
+    assert {k: v[1] for k, v in by_class.items()} == {"a": 3, "b": 4, "c": 4, "d": 3, "e": 4} and len({v[0] for v in by_class.values()}) == 1
     twice = [("t", 1, "heading", None, ""), ("t", 1, "heading", "a\u00a0b", ""), ("t", 1, "heading", "c", ""), ("u", 1, "table", None, "")]
     one, other = ({(r["doc_id"], r["seg_order"]): r["text"] for r in p5_forms.consistent(spark.createDataFrame(x, schema)).collect()} for x in (rows + twice, twice[::-1] + rows[::-1]))
     assert one == other and one[("t", 1)] in ("a b", "c") and one[("u", 1)] is None  # one delivery, whatever the order
@@ -405,6 +407,9 @@ def test_ids_equal_whole_encoding(spark):
     got = {r["doc_id"]: r["ids"] for r in p7_encode.encoded(df, p7_encode.vocabulary_path()).collect()}
     assert all(got[i] == (enc.whole(t) if t else []) for i, t in enumerate(texts + texts[:5]))
     assert p7_encode.encoded(df.limit(0), p7_encode.vocabulary_path()).count() == 0
+    reuse = p7_encode.chunk_reuse(spark.createDataFrame([(t,) for t in ["word and word " * 900, None, ""] * 2], "text string"), p7_encode.vocabulary_path()).first()
+    assert reuse["bytes"] == 2 * 900 * 14 and reuse["repeated_bytes"] >= 900 * 14 and reuse["chunks"] >= 2 * reuse["distinct_chunks"]
+    assert p7_encode.chunk_reuse(df.limit(0), p7_encode.vocabulary_path()).first()["bytes"] == 0
     rough = p7_encode.Encoder(p7_encode.vocabulary_path(), every_blank=1, every_other=1, cache=50)
     for t in texts[4:60]:
         assert list(memoryview(rough.batch([t.encode()])[1]).cast("i")) == enc.whole(t)
