@@ -26,7 +26,7 @@ from foliospark.sources.tables import table
 #: Chunks that a worker keeps; beyond that its cache is emptied. Changes speed and memory, never ids.
 CACHE_CHUNKS = 250_000
 #: Mean distance of cuts: one in so many blanks between letters; one in so many other characters.
-EVERY_BLANK, EVERY_OTHER = 4, 64
+EVERY_BLANK, EVERY_OTHER = 64, 1024
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 4 << 20
 
